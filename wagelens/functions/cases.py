@@ -15,16 +15,17 @@ def well_formed(case_number: Column) -> Column:
     return F.coalesce(case_number.rlike(fixed.CASE_NUMBER_PATTERN), F.lit(False))
 
 
+def _part(case_number: Column, start: int, length: int) -> Column:
+    """A run of digits of a well-formed number; a malformed number gives null."""
+    return F.when(case_number.rlike(fixed.CASE_NUMBER_PATTERN), F.substring(case_number, start, length))
+
+
 def case_prefix(case_number: Column) -> Column:
-    return F.regexp_extract(case_number, fixed.CASE_NUMBER_PATTERN, 1).try_cast("int")
+    return _part(case_number, 3, 3).cast("int")
 
 
 def case_serial(case_number: Column) -> Column:
-    digits = F.concat(
-        F.regexp_extract(case_number, fixed.CASE_NUMBER_PATTERN, 2),
-        F.regexp_extract(case_number, fixed.CASE_NUMBER_PATTERN, 3),
-    )
-    return digits.try_cast("bigint")
+    return F.concat(_part(case_number, 7, 5), _part(case_number, 13, 6)).cast("bigint")
 
 
 def case_order(case_number: Column) -> Column:

@@ -20,6 +20,7 @@ _STRIP = rf"(?U)^[{_SPACE}]+|[{_SPACE}]+\z"
 _SPACES = rf"(?U)[{_SPACE}]+"
 _PUNCTUATION = rf"(?U)[^\p{{L}}\p{{N}}_{_SPACE}]"
 _LEGAL_SUFFIX = rf" (?:{'|'.join(fixed.LEGAL_SUFFIXES)})\z"
+_TECH = rf"^(?:{fixed.TECH_MAJOR_GROUP}|{fixed.TECH_EXTRA_PREFIX})"
 _AFTER_UNCASED = r"(?<=[^\p{IsLowercase}\p{IsUppercase}\p{Lt}])"
 
 
@@ -73,8 +74,7 @@ def normalize_soc(code: Column) -> Column:
 
 def is_tech(soc_code: Column) -> Column:
     """Computer occupations plus information-systems managers; a missing code is not tech."""
-    major = F.substring(soc_code, 1, len(fixed.TECH_MAJOR_GROUP)) == fixed.TECH_MAJOR_GROUP
-    return F.coalesce(major | soc_code.startswith(fixed.TECH_EXTRA_PREFIX), F.lit(False))
+    return F.coalesce(soc_code.rlike(_TECH), F.lit(False))
 
 
 def same_text(column: Column, value: str) -> Column:

@@ -42,19 +42,19 @@ def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.clean(_raw(spark, sf_dir), earliest_year=EARLIEST_YEAR)
 
 
-_stars: dict[tuple[str, str], str] = {}
+_stars: dict[tuple[str, str], star.Star] = {}
 
 
 def built_star(spark: SparkSession, sf_dir: str) -> star.Star:
-    """The star of a data folder: written once per session, then read back."""
+    """The star of a data folder: written once per session, then read from its files."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _stars:
         root = staging_path(spark, "star")
         cleaned = f"{root}/cleaned"
         cleaning.write_cleaned(_raw(spark, sf_dir), cleaned, earliest_year=EARLIEST_YEAR)
         star.build_star(spark.read.parquet(cleaned), root)
-        _stars[key] = root
-    return star.open_star(spark, _stars[key])
+        _stars[key] = star.open_star(spark, root)
+    return _stars[key]
 
 
 def _on_star(ask: Callable[..., DataFrame], **arguments) -> Query:
