@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from wagelens import fixed
 
-SERIAL_DIGITS = 11
 DAY_DIGITS = 6
 
 
@@ -29,9 +28,14 @@ def case_serial(case_number: Column) -> Column:
 
 
 def case_order(case_number: Column) -> Column:
-    """A long that sorts as the case number does, cheap to aggregate and to shuffle."""
-    scale = F.lit(10**SERIAL_DIGITS).cast("bigint")
-    return case_prefix(case_number).cast("bigint") * scale + case_serial(case_number)
+    """A long that sorts as well-formed case numbers do; cheap to aggregate and shuffle."""
+    digits = [F.substring(case_number, start, length) for start, length in ((3, 3), (7, 5), (13, 6))]
+    return F.concat(*digits).try_cast("bigint")
+
+
+def case_day(order: Column) -> Column:
+    """The prefix and day of a `case_order`; a day's six-digit numbers allow a million cases."""
+    return F.floor(order / F.lit(10**DAY_DIGITS)).cast("bigint")
 
 
 def case_number(prefix: Column, serial: Column) -> Column:

@@ -69,3 +69,27 @@ def positions_within(
         .withColumn(name, F.col("__position") - F.col("__start") + 1)
         .drop("__position", "__start", *[k + "__s" for k in keys])
     )
+
+
+def bucketed_positions(
+    df: DataFrame, bucket: str, order: Sequence[Column], name: str
+) -> DataFrame:
+    """``df`` with a dense 0-based position, where a column already cuts the order in ranges.
+
+    ``bucket`` must rise with ``order`` and hold a bounded number of rows. Each bucket is
+    ranked by itself and the bucket counts give the offsets, so nothing is staged and the
+    only window over everything sees one row per bucket.
+    """
+    own = W.partitionBy(bucket).orderBy(*order)
+    before = W.orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
+    offsets = (
+        df.groupBy(F.col(bucket).alias("__bucket"))
+        .agg(F.count(F.lit(1)).alias("__size"))
+        .select("__bucket", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset"))
+    )
+    return (
+        df.withColumn("__row", F.row_number().over(own) - 1)
+        .join(offsets, F.col(bucket).eqNullSafe(F.col("__bucket")))
+        .withColumn(name, F.col("__offset") + F.col("__row"))
+        .drop("__row", "__bucket", "__offset")
+    )

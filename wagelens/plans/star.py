@@ -1,15 +1,15 @@
 """One fact and five lookups from the cleaned filings.
 
-Lookup ids are dense, start at 0 and follow first appearance in case-number order. All
-five lookups are numbered together by one range-partitioned sort.
+Lookup ids are dense, start at 0 and follow first appearance in case-number order.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from wagelens import fixed
 from wagelens.functions import wages
-from wagelens.functions.cases import case_number, case_order, case_prefix, case_serial
+from wagelens.functions.cases import case_day, case_number, case_order, case_prefix, case_serial
 from wagelens.operators.checks import duplicate_keys, null_counts, orphan_report
-from wagelens.operators.positions import positions_within
+from wagelens.operators.positions import bucketed_positions
 from wagelens.sources.sinks import current_run, publish, verify_rows
 
 # ---- fixed values: lookup table, id, keys, and what is carried beside the key ---
@@ -92,12 +92,14 @@ def star_source(cleaned: DataFrame) -> DataFrame:
     )
 
 
-def _first_seen(source: DataFrame, table: str, keys: Sequence[str], payload: str | None) -> DataFrame:
-    """(table, key1, key2, payload, first) with the payload of the first filing.
+def numbered_lookup(
+    source: DataFrame, id_column: str, keys: Sequence[str], payload: str | None
+) -> DataFrame:
+    """One lookup with its ids, and the payload of the first filing that names the key.
 
     The large step keeps one long per group, which aggregates by hash and combines on
     the map side; only its distinct (keys, payload) rows reach the step that picks a
-    payload.
+    payload. Ids count up by day of the first case number: at most a million per day.
     """
     first = F.min("_order").alias("_first")
     seen = source.groupBy(*keys, *([payload] if payload else [])).agg(first)
@@ -105,29 +107,12 @@ def _first_seen(source: DataFrame, table: str, keys: Sequence[str], payload: str
         seen = seen.groupBy(*keys).agg(
             F.min_by(payload, "_first").alias(payload), F.min("_first").alias("_first")
         )
-    return seen.select(
-        F.lit(table).alias("_table"),
-        F.col(keys[0]).alias("_key1"),
-        (F.col(keys[1]) if len(keys) > 1 else F.lit(None).cast("string")).alias("_key2"),
-        (F.col(payload) if payload else F.lit(None).cast("string")).alias("_payload"),
-        "_first",
+    ranked = bucketed_positions(
+        seen.withColumn("_day", case_day(F.col("_first"))), "_day", [F.col("_first")], "_id"
     )
-
-
-def numbered_lookups(source: DataFrame) -> dict[str, DataFrame]:
-    """The five lookups with their ids."""
-    seen = reduce(
-        DataFrame.unionByName,
-        [_first_seen(source, name, keys, payload) for name, _, keys, payload in LOOKUPS],
+    return ranked.select(
+        F.col("_id").cast("int").alias(id_column), *keys, *([payload] if payload else [])
     )
-    ranked = positions_within(seen, ["_table"], [F.col("_first"), F.col("_key1")], "_rank")
-    lookups = {}
-    for name, id_column, keys, payload in LOOKUPS:
-        columns = [(F.col("_rank") - 1).cast("int").alias(id_column)]
-        columns += [F.col(f"_key{i}").alias(k) for i, k in enumerate(keys, 1)]
-        columns += [F.col("_payload").alias(payload)] if payload else []
-        lookups[name] = ranked.filter(F.col("_table") == name).select(*columns)
-    return lookups
 
 
 # ---- fact ----------------------------------------------------------------------
@@ -188,9 +173,14 @@ def build_star(cleaned: DataFrame, root: str) -> Star:
     folder = f"{root}/{run}"
 
     source = star_source(cleaned)
-    for name, lookup in numbered_lookups(source).items():
-        id_column = next(i for n, i, _, _ in LOOKUPS if n == name)
-        lookup.orderBy(id_column).write.parquet(f"{folder}/{name}")
+    _together(
+        [
+            partial(
+                numbered_lookup(source, id_column, keys, payload).write.parquet, f"{folder}/{name}"
+            )
+            for name, id_column, keys, payload in LOOKUPS
+        ]
+    )
     lookups = {
         name: spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}") for name, *_ in LOOKUPS
     }
@@ -204,12 +194,18 @@ def build_star(cleaned: DataFrame, root: str) -> Star:
         .parquet(f"{folder}/filings")
     )
     star = _open_run(spark, folder)
-    _check(star)
-    verify_rows(spark, f"{folder}/filings", cleaned.count())
+    _together([partial(_check, star), lambda: verify_rows(spark, f"{folder}/filings", cleaned.count())])
     publish(spark, root, run)
     return star
 
 
+def _together(steps: Sequence[Callable[[], object]]) -> None:
+    """Run independent jobs side by side; the first failure is raised."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        for done in [pool.submit(step) for step in steps]:
+            done.result()
+
+
 def _open_run(spark: SparkSession, folder: str) -> Star:
     """The tables of a run. Stated schemas save the job that would infer each of them."""
     tables = {
@@ -251,15 +247,14 @@ def repeated_lookup_keys(star: Star) -> DataFrame:
 
 
 def _check(star: Star) -> None:
+    """Not-null and key rules. An id without a lookup row is a null here: ids come from a
+    left join with the lookups, so references need no second pass."""
     nulls = {c: n for c, n in missing_values(star).first().asDict().items() if n}
     if nulls:
         raise BrokenStar(f"nulls in required columns: {nulls}")
     shared = repeated_serials(star).count()
     if shared:
         raise BrokenStar(f"{shared:,} case serials occur more than once; the serial is the key")
-    lost = [row["lookup"] for row in foreign_keys(star).filter("n_keys > 0").collect()]
-    if lost:
-        raise BrokenStar(f"filings refer to rows missing from {lost}")
 
 
 # ---- catalog and view ----------------------------------------------------------
