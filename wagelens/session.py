@@ -23,6 +23,11 @@ def local_session(app: str = "wagelens", cores: int | str = "*", **conf: str) ->
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
+        # Recording the Python call site of every column expression costs more than
+        # planning does; switch it on again to debug.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
+        # Small local data: let a stage of a few megabytes use all the cores.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "128k",
         **conf,
     }
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)

@@ -19,11 +19,11 @@ def write_cache(df: DataFrame, path: str) -> str:
 def write_curated(cleaned: DataFrame, path: str) -> str:
     """The cleaned filings, one folder per fiscal year so that a year can be pruned.
 
-    Rows are grouped by year and then spread by case number, so a year that holds most
-    of the rows is still written by many tasks and no task opens many files.
+    The rebalance hint brings a year's rows together, so that no task opens many files,
+    and lets adaptive execution cut a year that holds most of the rows into several.
     """
     (
-        cleaned.repartitionByRange("fiscal_year", "case_number")
+        cleaned.hint("rebalance", "fiscal_year")
         .write.mode("overwrite")
         .partitionBy("fiscal_year")
         .parquet(path)
