@@ -8,7 +8,8 @@ spreads over all reducers. What remains per key is its distinct values.
   Its state per key is the key's distinct values: right where the value domain is
   bounded, such as whole-dollar wages inside the reporting band (under two million).
 * ``ranked_quantiles`` makes no assumption about the domain. It finds the ranks wanted
-  on a coarse monotone grid first and then sorts only the grid cells that hold them.
+  on a coarse monotone grid, cuts the cells that hold them into finer ones, and sorts
+  values only inside the last cells, which hold a bounded number of them.
 
 Both interpolate at position ``fraction * (n - 1)`` and give the same figures.
 """
@@ -22,10 +23,19 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Grid cells per doubling of the magnitude: cells about 1.1 % wide, and at most
-# 2 * 64 * 1024 of them over all doubles.
+from wagelens.session import staged
+
+# Grid cells per doubling of the magnitude: each is about 1.1 % wide, and all doubles
+# together fill at most 2 * 64 * 2200 of them.
 _CELLS_PER_DOUBLING = 64
+_LOWEST_EXPONENT = 1100
+
+# A 1.1 % cell holds at most 24 million integers of 32 bits and 2^46 doubles. Two cuts
+# into 2^16 linear parts leave at most 2^15 doubles.
+_LINEAR_CELLS = 65_536
+_CUTS_FOR_FRACTIONS = 2
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -54,14 +64,72 @@ def grouped_quantiles(
     return grouped.select(*keys, *picked, n_name)
 
 
-def _cell(value: Column) -> Column:
-    magnitude = F.floor(F.log2(F.abs(value.cast("double")) + 1) * _CELLS_PER_DOUBLING)
-    return (F.signum(value.cast("double")) * magnitude).cast("bigint")
+def _magnitude_cell(value: Column) -> Column:
+    """The grid cell of a number; rises with the number, zero has its own."""
+    v = value.cast("double")
+    steps = F.floor((F.log2(F.abs(v)) + _LOWEST_EXPONENT) * _CELLS_PER_DOUBLING)
+    return F.when(v == 0, F.lit(0)).otherwise(F.signum(v) * steps).cast("bigint")
+
+
+def _linear_cell(value: Column) -> Column:
+    """The part of its cell's value range a number lies in."""
+    low, high = F.col("_low").cast("double"), F.col("_high").cast("double")
+    part = F.floor(F.try_divide(value.cast("double") - low, high - low) * _LINEAR_CELLS)
+    return F.coalesce(part, F.lit(0)).cast("bigint")
 
 
-def _same_keys(keys: Sequence[str], suffix: str) -> Column:
-    pairs = [F.col(k).eqNullSafe(F.col(k + suffix)) for k in keys]
-    return reduce(and_, [*pairs, F.col("_cell") == F.col("_cell" + suffix)])
+def _spots(fractions: Mapping[str, float]) -> list[Column]:
+    """The wanted positions among ``_total`` values, counted from 0."""
+    return [F.lit(float(f)) * (F.col("_total") - 1) for f in fractions.values()]
+
+
+def _narrow(
+    counts: DataFrame, parents: Sequence[str], value: str, fractions: Mapping[str, float]
+) -> DataFrame:
+    """Only the cells of each parent that hold a wanted rank.
+
+    ``counts`` has (parents, value, _n, _cell). Added are the rank ``_base`` at which a
+    cell starts, the key's ``_total`` and the cell's value range. The windows see one row
+    per cell, and a parent has a bounded number of cells.
+    """
+    inner = "_base" in parents
+    parent = W.partitionBy(*parents) if parents else W.partitionBy(F.lit(0))
+    running = parent.orderBy("_cell").rowsBetween(W.unboundedPreceding, W.currentRow)
+    sizes = counts.groupBy(*parents, "_cell").agg(
+        F.sum("_n").alias("_size"),
+        F.min(value).alias("_low"),
+        F.max(value).alias("_high"),
+        *([F.max("_total").alias("_total")] if inner else []),
+    )
+    if not inner:
+        sizes = sizes.withColumn("_total", F.sum("_size").over(parent))
+    before = F.col("_base") if inner else F.lit(0)
+    cells = sizes.withColumn("_end", before + F.sum("_size").over(running)).withColumn(
+        "_begin", F.col("_end") - F.col("_size")
+    )
+    ranks = [rank(spot) for spot in _spots(fractions) for rank in (F.floor, F.ceil)]
+    holds = reduce(or_, [(r >= F.col("_begin")) & (r < F.col("_end")) for r in ranks])
+    match = [*parents, "_cell"]
+    wanted = cells.filter(holds).select(
+        *[F.col(c).alias(f"{c}__w") for c in match],
+        F.col("_begin").alias("_base__n"),
+        F.col("_total").alias("_total__n"),
+        "_low",
+        "_high",
+    )
+    # Null-safe throughout: a plain equality adds a not-null filter to one branch, and
+    # the value counts would no longer be one exchange that both branches reuse.
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}__w")) for c in match])
+    keys = [c for c in parents if c != "_base"]
+    return counts.join(wanted, same).select(
+        *keys,
+        value,
+        "_n",
+        F.col("_base__n").alias("_base"),
+        F.col("_total__n").alias("_total"),
+        "_low",
+        "_high",
+    )
 
 
 def ranked_quantiles(
@@ -72,40 +140,23 @@ def ranked_quantiles(
     n_name: str,
 ) -> DataFrame:
     """Quantiles per key over any finite numbers, by rank; no keys gives one row."""
-    counts = value_counts(df, keys, value).withColumn("_cell", _cell(F.col(value)))
-
-    # Rank ranges of the grid cells. A key has a bounded number of cells.
-    per_key = W.partitionBy(*[F.col(k) for k in keys]) if keys else W.partitionBy(F.lit(0))
-    running = per_key.orderBy("_cell").rowsBetween(W.unboundedPreceding, W.currentRow)
-    cells = (
-        counts.groupBy(*keys, "_cell")
-        .agg(F.sum("_n").alias("_cell_n"))
-        .withColumn("_total", F.sum("_cell_n").over(per_key))
-        .withColumn("_cell_end", F.sum("_cell_n").over(running))
-        .withColumn("_cell_start", F.col("_cell_end") - F.col("_cell_n"))
-    )
-    spots = {name: F.lit(float(f)) * (F.col("_total") - 1) for name, f in fractions.items()}
-    ranks = [rank(spot) for spot in spots.values() for rank in (F.floor, F.ceil)]
-    needed = reduce(
-        or_, [(r >= F.col("_cell_start")) & (r < F.col("_cell_end")) for r in ranks]
-    )
-    wanted_cells = cells.filter(needed).select(
-        *[F.col(k).alias(k + "__c") for k in keys],
-        F.col("_cell").alias("_cell__c"),
-        "_cell_start",
-        "_total",
-    )
+    counts = value_counts(df, keys, value).withColumn("_cell", _magnitude_cell(F.col(value)))
+    placed = _narrow(counts, keys, value, fractions)
+    if not isinstance(df.schema[value].dataType, T.IntegralType):
+        for _ in range(_CUTS_FOR_FRACTIONS):
+            # The cells that matter are a small part of the counts; they are written so
+            # that the next cut reads them instead of finding them again.
+            placed = staged(placed, "cells")
+            finer = placed.withColumn("_cell", _linear_cell(F.col(value))).drop("_low", "_high")
+            placed = _narrow(finer, [*keys, "_base"], value, fractions)
 
-    # Only those cells are ordered value by value.
     within = (
-        W.partitionBy(*keys, "_cell")
+        W.partitionBy(*keys, "_base")
         .orderBy(value)
         .rowsBetween(W.unboundedPreceding, W.currentRow)
     )
-    ranked = (
-        counts.join(wanted_cells, _same_keys(keys, "__c"))
-        .withColumn("_end", F.col("_cell_start") + F.sum("_n").over(within))
-        .withColumn("_start", F.col("_end") - F.col("_n"))
+    ranked = placed.withColumn("_end", F.col("_base") + F.sum("_n").over(within)).withColumn(
+        "_start", F.col("_end") - F.col("_n")
     )
 
     def value_at(rank: Column) -> Column:
@@ -113,7 +164,7 @@ def ranked_quantiles(
         return F.max(F.when(holds, F.col(value).cast("double")))
 
     ends = []
-    for i, spot in enumerate(spots.values()):
+    for i, spot in enumerate(_spots(fractions)):
         ends += [
             value_at(F.floor(spot)).alias(f"_lo{i}"),
             value_at(F.ceil(spot)).alias(f"_hi{i}"),

@@ -75,9 +75,13 @@ def numeric_summary(
         F.min(value).cast("double").alias("min"),
         F.max(value).cast("double").alias("max"),
     )
-    quantiles = ranked_quantiles(df, [], value, fractions, "_rows").drop("_rows")
-    one = F.lit(1).alias("_one")
-    return moments.select("*", one).join(quantiles.select("*", one), "_one").drop("_one")
+    return with_single_row(moments, ranked_quantiles(df, [], value, fractions, "_rows").drop("_rows"))
+
+
+def with_single_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """``df`` with the columns of a one-row frame, by a scalar subquery instead of a cross join."""
+    packed = row.select(F.struct(*row.columns)).scalar()
+    return df.withColumn("_row", packed).select(*df.columns, *[f"_row.{c}" for c in row.columns])
 
 
 def largest(df: DataFrame, by: str, k: int, tie_break: Sequence[str]) -> DataFrame:

@@ -15,8 +15,10 @@ from wagelens.operators.summaries import (
     numeric_summary,
     unpivot_counts,
     value_shares,
+    with_single_row,
 )
 from wagelens.plans.clean import annualized
+from wagelens.session import staged
 
 SUMMARY_FRACTIONS = {"p01": 0.01, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p99": 0.99}
 ESCAPE_PRONE = ("JOB_TITLE", "SOC_CODE", "EMPLOYER_NAME", "WORKSITE_CITY", "SOC_TITLE")
@@ -39,7 +41,8 @@ def _naive(latest: DataFrame) -> DataFrame:
 
 
 def naive_summary(latest: DataFrame) -> DataFrame:
-    return numeric_summary(_naive(latest), "naive", SUMMARY_FRACTIONS)
+    naive = staged(_naive(latest).select("naive"), "naive")
+    return numeric_summary(naive, "naive", SUMMARY_FRACTIONS)
 
 
 def worst_offenders(latest: DataFrame, k: int = 5) -> DataFrame:
@@ -61,8 +64,10 @@ def hourly_suspects(latest: DataFrame, rate_above: float = 500.0) -> DataFrame:
 
 def repair_impact(latest: DataFrame, huge: float = 1e7) -> DataFrame:
     """Before and after unit repair: rows repaired, extremes, rows above ``huge``, medians."""
-    both = annualized(_naive(latest)).select("naive", "annual_from", "unit_repaired")
-    counts = both.agg(
+    both = staged(
+        annualized(_naive(latest)).select("naive", "annual_from", "unit_repaired"), "repair"
+    )
+    out = both.agg(
         F.count_if("unit_repaired").alias("n_repaired"),
         F.max("naive").alias("max_before"),
         F.max("annual_from").alias("max_after"),
@@ -70,15 +75,10 @@ def repair_impact(latest: DataFrame, huge: float = 1e7) -> DataFrame:
         F.count_if(F.col("annual_from") > huge).alias("n_huge_after"),
         F.mean("naive").alias("mean_before"),
         F.mean("annual_from").alias("mean_after"),
-        F.lit(1).alias("_one"),
     )
-    out = counts
     for column, name in (("naive", "median_before"), ("annual_from", "median_after")):
-        median = ranked_quantiles(both, [], column, {name: 0.5}, "_n").select(
-            name, F.lit(1).alias("_one")
-        )
-        out = out.join(median, "_one")
-    return out.drop("_one")
+        out = with_single_row(out, ranked_quantiles(both, [], column, {name: 0.5}, "_n").drop("_n"))
+    return out
 
 
 def repaired_units(latest: DataFrame) -> DataFrame:
@@ -118,9 +118,10 @@ def outlier_position(latest: DataFrame) -> DataFrame:
 
 def _banded(latest: DataFrame) -> DataFrame:
     low, high = F.col("annual_from"), F.col("annual_to")
-    return annualized(latest).select(
+    wanted = annualized(latest).select(
         low, high, "annual_wage", wages.has_band(low, high).alias("has_band")
     )
+    return staged(wanted, "banded")
 
 
 def band_coverage(latest: DataFrame) -> DataFrame:
@@ -131,11 +132,10 @@ def band_coverage(latest: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows"),
         F.count(high).alias("n_high_end"),
         F.count_if("has_band").alias("n_band"),
-        F.lit(1).alias("_one"),
     )
     spread = banded.filter("has_band").select(F.try_divide(high - low, low).alias("spread"))
     widths = ranked_quantiles(spread, [], "spread", {"median_spread": 0.5, "p90_spread": 0.9}, "_n")
-    return counts.join(widths.withColumn("_one", F.lit(1)), "_one").drop("_one", "_n")
+    return with_single_row(counts, widths.drop("_n"))
 
 
 def midpoint_bias(latest: DataFrame) -> DataFrame:
