@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import partial, reduce
 from operator import and_
 
@@ -66,6 +66,8 @@ class Star:
     titles: DataFrame
     locations: DataFrame
     visa_classes: DataFrame
+    # Ids that lookup predicates matched; a run's tables never change.
+    matched: dict[tuple, list[int]] = field(default_factory=dict, compare=False, repr=False)
 
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wagelens import fixed
-from wagelens.functions import dates, text
+from wagelens.functions import dates, text, wages
 from wagelens.functions.cases import case_number, case_prefix, case_serial
 from wagelens.operators import checks
 from wagelens.operators.latest import repeated_keys, rows_of_repeated_keys
@@ -147,6 +147,41 @@ def case_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.withColumn("rebuilt", case_number(F.col("case_prefix"), F.col("case_serial")))
 
 
+def wage_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices as filed text, some blank and some with a currency sign: read or refused."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    key, whole = F.col("o_orderkey"), F.floor("o_totalprice").cast("string")
+    filed = (
+        F.when(key % 23 == 0, F.concat(F.lit("$"), whole))
+        .when(key % 29 == 0, F.concat(whole, F.lit("d")))
+        .when(key % 31 == 0, F.concat(F.lit(" "), whole, F.lit(".5 ")))
+        .when(key % 37 != 0, whole)
+    )
+    df = orders.select("o_orderkey", filed.alias("filed"))
+    dtype = df.schema["filed"].dataType
+    return df.select(
+        "o_orderkey",
+        wages.to_wage(F.col("filed"), dtype).alias("wage"),
+        wages.unreadable(F.col("filed"), dtype).alias("unreadable"),
+    )
+
+
+def date_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates as text in two notations and as junk, read leniently; rows per fiscal year."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    day, key = F.col("o_orderdate").cast("date"), F.col("o_orderkey")
+    filed = (
+        F.when(key % 3 == 0, F.date_format(day, "yyyy-MM-dd"))
+        .when(key % 3 == 1, F.date_format(day, "M/d/yyyy"))
+        .otherwise("soon")
+    )
+    df = orders.select(filed.alias("filed"))
+    read = dates.lenient_date(F.col("filed"), df.schema["filed"].dataType)
+    return df.groupBy(dates.fiscal_year_of(read).alias("fiscal_year")).agg(
+        F.count(F.lit(1)).alias("n_rows")
+    )
+
+
 def rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = cleaning.certified(_latest(spark, sf_dir))
     counts = cleaning.violations(kept, EARLIEST_YEAR + 1)
@@ -235,18 +270,18 @@ def rank_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def flat_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Medians by employer on the flat cleaned table, without the star."""
-    wages = _cleaned(spark, sf_dir).filter(~F.col("is_outlier")).select(
+    flat = _cleaned(spark, sf_dir).filter(~F.col("is_outlier")).select(
         "employer_name", F.rint("annual_wage").cast("int").alias("annual_wage")
     )
-    return grouped_quantiles(wages, ["employer_name"], "annual_wage", questions.QUARTILES, "n_filings")
+    return grouped_quantiles(flat, ["employer_name"], "annual_wage", questions.QUARTILES, "n_filings")
 
 
 def flat_quantiles_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wages = _cleaned(spark, sf_dir).select(
+    flat = _cleaned(spark, sf_dir).select(
         "worksite_state", "full_time", F.rint("annual_wage").cast("int").alias("annual_wage")
     )
     return ranked_quantiles(
-        wages, ["worksite_state", "full_time"], "annual_wage", questions.QUARTILES, "n_filings"
+        flat, ["worksite_state", "full_time"], "annual_wage", questions.QUARTILES, "n_filings"
     )
 
 
@@ -322,6 +357,8 @@ def all_queries() -> dict[str, Query]:
         "city_state_normalize": city_state_normalize,
         "fiscal_year": fiscal_year,
         "case_numbers": case_numbers,
+        "wage_text": wage_text,
+        "date_text": date_text,
         "rule_violations": rule_violations,
         "unknown_units": unknown_units,
         "stage_ledger": lambda spark, sf: ledger.stage_ledger(_raw(spark, sf)),
