@@ -121,34 +121,29 @@ def test_published_runs_are_switched_whole(spark, tmp_path):
     assert sinks.current_run(spark, root) == "run-b"
 
 
-def test_database_load_empties_children_first_and_fills_parents_first():
+def test_database_load_empties_children_first_and_fills_parents_first(monkeypatch):
     calls = []
 
-    class Writer:
-        def __init__(self, name, empty):
-            self.name, self.empty, self.options = name, empty, {}
-
-        def option(self, key, value):
-            self.options[key] = value
-            return self
-
-        def jdbc(self, url, table, mode, properties):
-            calls.append((table, mode, self.empty, self.options.get("truncate"), properties["batchsize"]))
-
     class Table:
-        def __init__(self, name, empty=False):
-            self.name, self.empty = name, empty
+        sparkSession = None
 
-        def limit(self, n):
-            return Table(self.name, n == 0)
+        def __init__(self, name):
+            self.name = name
 
         @property
         def write(self):
-            return Writer(self.name, self.empty)
+            return self
+
+        def jdbc(self, url, table, mode, properties):
+            assert table == self.name
+            calls.append((mode, table, properties["batchsize"], properties["user"]))
 
+    monkeypatch.setattr(
+        sinks, "clear_tables", lambda spark, url, names, login: calls.extend(("clear", n) for n in names)
+    )
     order = ["titles", "filings"]
-    sinks.write_database({n: Table(n) for n in order}, "jdbc:none", order)
+    sinks.write_database({n: Table(n) for n in order}, "jdbc:none", order, {"user": "u"})
     assert calls == [
-        ("filings", "overwrite", True, "true", "10000"), ("titles", "overwrite", True, "true", "10000"),
-        ("titles", "append", False, None, "10000"), ("filings", "append", False, None, "10000"),
+        ("clear", "filings"), ("clear", "titles"),
+        ("append", "titles", "10000", "u"), ("append", "filings", "10000", "u"),
     ]

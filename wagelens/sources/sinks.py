@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,21 +66,46 @@ def current_run(spark: SparkSession, root: str) -> str:
 # ---- database sink -----------------------------------------------------------
 
 
+def clear_tables(
+    spark: SparkSession, url: str, names: Sequence[str], properties: Mapping[str, str]
+) -> None:
+    """Empty tables in one transaction, in the given order.
+
+    DELETE rather than the writer's TRUNCATE: several databases refuse to truncate a
+    table that a foreign key names, even when nothing refers to its rows.
+    """
+    jvm = spark._jvm
+    login = jvm.java.util.Properties()
+    for key, value in properties.items():
+        login.setProperty(key, value)
+    connection = jvm.java.sql.DriverManager.getConnection(url, login)
+    try:
+        connection.setAutoCommit(False)
+        statement = connection.createStatement()
+        for name in names:
+            statement.executeUpdate(f"DELETE FROM {name}")
+        connection.commit()
+    finally:
+        connection.close()
+
+
 def write_database(
-    tables: dict[str, DataFrame],
+    tables: Mapping[str, DataFrame],
     url: str,
-    load_order: list[str],
-    properties: dict[str, str] | None = None,
+    load_order: Sequence[str],
+    properties: Mapping[str, str] | None = None,
     batch_rows: int = 10_000,
 ) -> None:
-    """Replace the tables of a database over JDBC, parents before the tables naming them.
+    """Replace the rows of existing tables over JDBC; columns are matched by name.
 
-    Emptying runs in the opposite order, children first, as foreign keys demand: the
-    truncating overwrite of an empty frame keeps the declared columns and constraints.
+    Tables are emptied children first and filled parents first, as foreign keys demand.
+    Executors insert their partitions in batches, each in its own transaction, so a
+    failed load is repeated as a whole: it starts by emptying.
     """
-    options = {**(properties or {}), "batchsize": str(batch_rows)}
-    for name in reversed(load_order):
-        emptied = tables[name].limit(0)
-        emptied.write.option("truncate", "true").jdbc(url, name, mode="overwrite", properties=options)
+    login = dict(properties or {})
+    spark = tables[load_order[0]].sparkSession
+    clear_tables(spark, url, list(reversed(load_order)), login)
     for name in load_order:
-        tables[name].write.jdbc(url, name, mode="append", properties=options)
+        tables[name].write.jdbc(
+            url, name, mode="append", properties={**login, "batchsize": str(batch_rows)}
+        )
