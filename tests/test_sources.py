@@ -61,6 +61,15 @@ def test_ties_go_to_the_later_source_and_row(spark, filings, tmp_path):
     assert [r.JOB_TITLE for r in kept] == ["two"]
 
 
+def test_ties_inside_a_source_go_to_the_later_part(spark, filings, tmp_path):
+    case = {"CASE_NUMBER": "I-200-25001-000001"}
+    titles = [f"t{i:02d}" for i in range(12)]
+    rows = filings(*[{**case, "JOB_TITLE": t} for t in titles])
+    rows.repartitionByRange(12, "JOB_TITLE").write.parquet(str(tmp_path / "LCA_1.parquet"))
+    kept = cleaning.latest_filings(sources.load_filings(spark, str(tmp_path))).collect()
+    assert [r.JOB_TITLE for r in kept] == ["t11"]
+
+
 def test_needed_columns_always_hold_the_deduplication_columns():
     assert sources.needed_columns(["EMPLOYER_NAME"]) == ["CASE_NUMBER", "DECISION_DATE", "EMPLOYER_NAME"]
     assert sources.needed_columns(None) is None

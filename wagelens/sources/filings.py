@@ -44,6 +44,7 @@ def needed_columns(columns: Sequence[str] | None) -> list[str] | None:
 def read_source(spark: SparkSession, path: str) -> DataFrame:
     """One source without its blank padding rows. The key column is found by name."""
     if path.endswith(".csv"):
+        # Quoted text may span lines, so a file is not split.
         df = spark.read.csv(path, header=True, escape='"', multiLine=True)
     else:
         df = spark.read.parquet(path)
@@ -52,15 +53,21 @@ def read_source(spark: SparkSession, path: str) -> DataFrame:
     return df.filter(F.col(KEY).isNotNull())
 
 
-def _row_in_source(path: str) -> Column:
-    """A value that orders the rows of one source as they were filed."""
-    if path.endswith(".csv"):
-        # Splits of a file by their offset; ids grow with the rows inside a split.
-        start, row = F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
-    else:
-        start, row = F.lit(0).cast("bigint"), F.col("_metadata.row_index")
+def _position(rank: int, path: str) -> Column:
+    """A value that orders rows as they were filed: by source, part file, row.
+
+    Four fixed-size fields, as every row carries them through a shuffle. Part files go by
+    their number; the hash only keeps files without one apart.
+    """
+    name = F.col("_metadata.file_name")
+    part = F.regexp_extract(name, r"^part-(\d{1,9})\D", 1).try_cast("int")
+    # A CSV file is read by one task, in which ids grow with the rows.
+    row = F.monotonically_increasing_id() if path.endswith(".csv") else F.col("_metadata.row_index")
     return F.struct(
-        F.col("_metadata.file_name").alias("file"), start.alias("start"), row.alias("row")
+        F.lit(rank).alias("source"),
+        F.coalesce(part, F.lit(0)).alias("part"),
+        F.xxhash64(name).alias("file"),
+        row.alias("row"),
     )
 
 
@@ -97,7 +104,7 @@ def read_filings(
     for rank, (path, df) in enumerate(zip(paths, frames)):
         here = df.select(
             *[common(df, c).alias(c) for c in wanted if c in df.columns],
-            F.struct(F.lit(rank).alias("source"), _row_in_source(path).alias("row")).alias(POSITION),
+            _position(rank, path).alias(POSITION),
         )
         united = here if united is None else united.unionByName(here, allowMissingColumns=True)
     return united
