@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from wagelens import fixed
 from wagelens.plans import clean as cleaning
+from wagelens.plans import questions
+from wagelens.plans.build import build
+from wagelens.plans.star import open_star
 from wagelens.sources import filings as sources
 from wagelens.sources import sinks
 
@@ -130,6 +133,25 @@ def test_published_runs_are_switched_whole(spark, tmp_path):
     assert sinks.current_run(spark, root) == "run-b"
 
 
+def test_build_from_quarters_to_answers(spark, quarters, tmp_path):
+    root = str(tmp_path / "star")
+    star, stages = build(spark, quarters, root)
+    assert stages == {
+        "rows read": 4, "duplicate cases": 1, "unique filings": 3, "not certified": 0, "not tech": 0, "rows out": 3,
+    }
+    answer = questions.salary_percentiles(open_star(spark, root), "software engineer").first()
+    assert (answer.p50, answer.n_filings) == (100_000.0, 3)
+    assert star.filings.count() == 3
+
+
+def test_a_broken_rule_publishes_nothing(spark, filings, tmp_path):
+    sinks.write_cache(filings({"WAGE_UNIT_OF_PAY": "Fortnight"}), str(tmp_path / "LCA_1.parquet"))
+    root = tmp_path / "star"
+    with pytest.raises(cleaning.BadFilings):
+        build(spark, str(tmp_path), str(root))
+    assert not list(root.glob("run-*")) and not (root / "_published").exists()
+
+
 def test_database_load_empties_children_first_and_fills_parents_first(monkeypatch):
     calls = []
 

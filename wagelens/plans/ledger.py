@@ -58,19 +58,25 @@ def stage_ledger(raw: DataFrame, tech_only: bool = True) -> DataFrame:
     return unpivot_counts(stage_row(raw, tech_only), "stage", "n_rows")
 
 
-def reconciled_ledger(raw: DataFrame, cleaned: DataFrame, tech_only: bool = True) -> dict[str, int]:
-    """The ledger checked against the cleaned table itself; raises when they disagree."""
+def reconciled_ledger(
+    raw: DataFrame, cleaned: DataFrame, tech_only: bool = True, rows_read: int | None = None
+) -> dict[str, int]:
+    """The ledger checked against the cleaned table itself; raises when they disagree.
+
+    ``rows_read`` opens the ledger for filings that were deduplicated before they came
+    here; otherwise the rows of ``raw`` are what was read.
+    """
     stages = stage_row(raw, tech_only).first().asDict()
+    unique = stages["unique filings"]
+    if rows_read is not None:
+        if rows_read < unique:
+            # Deduplication only removes rows, so a smaller count belongs to other data.
+            raise ValueError(f"rows_read={rows_read:,} is below the {unique:,} unique filings")
+        stages |= {"rows read": rows_read, "duplicate cases": rows_read - unique}
     rows = cleaned.count()
-    explained = stages["unique filings"] - stages["not certified"] - stages["not tech"]
+    explained = unique - stages["not certified"] - stages["not tech"]
     if explained != rows:
         raise ValueError(
             f"stages account for {explained:,} rows but the cleaned table holds {rows:,}"
         )
     return {stage: stages[stage] for stage in STAGES}
-
-
-def check_rows_read(rows_read: int, unique_filings: int) -> None:
-    """Deduplication only removes rows, so a smaller count belongs to other data."""
-    if rows_read < unique_filings:
-        raise ValueError(f"rows_read={rows_read:,} is below the {unique_filings:,} unique filings")
