@@ -51,6 +51,18 @@ def test_ranked_quantiles_on_doubles_of_any_size(spark):
         assert row[name] == pytest.approx(np.quantile(values, f), rel=1e-9, abs=1e-12)
 
 
+def test_ranked_quantiles_inside_one_narrow_cell(spark):
+    """Values a grid cell cannot tell apart, as fractions and as 64-bit integers."""
+    rng = random.Random(5)
+    close = [100_000.0 + rng.random() for _ in range(1000)]
+    large = [2**50 + rng.randrange(10**6) for _ in range(1000)]
+    for values, kind in ((close, "double"), (large, "bigint")):
+        df = spark.createDataFrame([(v,) for v in values], f"w {kind}")
+        row = quantiles.ranked_quantiles(df, [], "w", FRACTIONS, "n").first()
+        for name, f in FRACTIONS.items():
+            assert row[name] == pytest.approx(np.quantile(values, f), rel=1e-14)
+
+
 def test_quantile_over_and_count_over_keep_every_row(spark):
     rows, df = skewed(spark, 400)
     got = quantiles.count_over(df, ["key"], "n").collect()

@@ -1,7 +1,7 @@
 """Exact interpolated quantiles that do not gather a group's rows in one task.
 
-All forms first count equal values, ``groupBy(keys, value).count()``. The count combines
-on the map side and shuffles on key *and* value, so a key that holds a third of the rows
+Equal values are counted first, ``groupBy(keys, value).count()``. The count combines on
+the map side and shuffles on key *and* value, so a key that holds a third of the rows
 spreads over all reducers. What remains per key is its distinct values.
 
 * ``grouped_quantiles`` hands the counts to the built-in ``percentile`` as frequencies.
@@ -34,8 +34,9 @@ _LOWEST_EXPONENT = 1100
 
 # A 1.1 % cell holds at most 24 million integers of 32 bits and 2^46 doubles. Two cuts
 # into 2^16 linear parts leave at most 2^15 doubles.
+_SMALL_INTEGERS = (T.ByteType, T.ShortType, T.IntegerType)
 _LINEAR_CELLS = 65_536
-_CUTS_FOR_FRACTIONS = 2
+_CUTS = 2
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -139,12 +140,27 @@ def ranked_quantiles(
     fractions: Mapping[str, float],
     n_name: str,
 ) -> DataFrame:
-    """Quantiles per key over any finite numbers, by rank; no keys gives one row."""
-    counts = value_counts(df, keys, value).withColumn("_cell", _magnitude_cell(F.col(value)))
-    placed = _narrow(counts, keys, value, fractions)
-    if not isinstance(df.schema[value].dataType, T.IntegralType):
-        for _ in range(_CUTS_FOR_FRACTIONS):
-            # The cells that matter are a small part of the counts; they are written so
+    """Quantiles per key over any finite numbers, by rank; no keys gives one row.
+
+    Integers of 32 bits repeat, so counting equal values first shrinks them. Others may
+    all differ; their cells are counted row by row, which combines on the map side, and
+    only the rows of the wanted cells are shuffled. ``df`` is then read twice: pass a
+    stored table, not a long plan.
+    """
+    cell = _magnitude_cell(F.col(value))
+    if isinstance(df.schema[value].dataType, _SMALL_INTEGERS):
+        counts = value_counts(df, keys, value).withColumn("_cell", cell)
+        placed = _narrow(counts, keys, value, fractions)
+    else:
+        rows = df.select(*keys, value).filter(F.col(value).isNotNull())
+        rows = rows.withColumns({"_n": F.lit(1).cast("bigint"), "_cell": cell})
+        placed = (
+            _narrow(rows, keys, value, fractions)
+            .groupBy(*keys, value, "_base", "_total", "_low", "_high")
+            .agg(F.sum("_n").alias("_n"))
+        )
+        for _ in range(_CUTS):
+            # The cells that matter are a small part of the values; they are written so
             # that the next cut reads them instead of finding them again.
             placed = staged(placed, "cells")
             finer = placed.withColumn("_cell", _linear_cell(F.col(value))).drop("_low", "_high")

@@ -56,10 +56,8 @@ def hourly_suspects(latest: DataFrame, rate_above: float = 500.0) -> DataFrame:
     hourly = latest.filter(F.col("WAGE_UNIT_OF_PAY") == "Hour").select(
         wages.to_wage(F.col("WAGE_RATE_OF_PAY_FROM"), dtype).alias("rate")
     ).filter(F.col("rate").isNotNull())
-    return ranked_quantiles(
-        hourly.withColumn("suspect", F.col("rate") > rate_above),
-        ["suspect"], "rate", {"median_rate": 0.5}, "n_rows",
-    )
+    judged = staged(hourly.withColumn("suspect", F.col("rate") > rate_above), "hourly")
+    return ranked_quantiles(judged, ["suspect"], "rate", {"median_rate": 0.5}, "n_rows")
 
 
 def repair_impact(latest: DataFrame, huge: float = 1e7) -> DataFrame:
