@@ -60,10 +60,16 @@ def main() -> None:
         "title_search": lambda: q.title_search(star, "ma"),
         "fiscal_years": lambda: q.fiscal_years(star),
     }
+
+    def answer(ask) -> None:
+        # Every run finds its title and place again; remembered ids would skip that.
+        star.matched.clear()
+        ask().collect()
+
     seconds = {}
     for name, ask in questions.items():
-        ask().collect()
-        seconds[name] = statistics.median(timed(lambda: ask().collect()) for _ in range(RUNS))
+        answer(ask)
+        seconds[name] = statistics.median(timed(lambda: answer(ask)) for _ in range(RUNS))
 
     # The pipeline once more, warm.
     again = staging_path(spark, "bench")
