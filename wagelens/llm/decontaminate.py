@@ -13,12 +13,11 @@ Built-in functions only; nothing here runs Python on rows.
 
 from __future__ import annotations
 
-import json
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wagelens.llm.tables import free_name, row_key
+from wagelens.llm.tables import bound, free_name, row_key
 from wagelens.session import staged
 
 WIDTH = 5
@@ -31,14 +30,17 @@ _BITMAP_BITS = 20  # the driver holds 2^20 bits at most, whatever the benchmark'
 def _shingles(text: Column) -> Column:
     """Hashes of a whole text's shingles in order; none below ``WIDTH`` words."""
     words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    joined = F.transform(words, lambda w: F.xxhash64(w))
-    return F.when(
-        F.size(joined) >= WIDTH,
-        F.transform(
-            F.sequence(F.lit(0), F.size(joined) - WIDTH),
-            lambda i: F.xxhash64(*[F.get(joined, i + k) for k in range(WIDTH)]),
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
+    none = F.array().cast("array<bigint>")
+    return bound(
+        F.transform(words, lambda w: F.xxhash64(w)),
+        lambda own: F.when(
+            F.size(own) >= WIDTH,
+            F.transform(
+                F.sequence(F.lit(0), F.size(own) - WIDTH),
+                lambda i: F.xxhash64(*[F.get(own, i + k) for k in range(WIDTH)]),
+            ),
+        ).otherwise(none),
+    )
 
 
 def _simhash(hashes: str) -> Column:
@@ -73,10 +75,10 @@ def _bitmap(hashes: DataFrame) -> Column:
     words = hashes.groupBy(F.shiftright(slot, 6).cast("int").alias("word")).agg(
         F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(h, %d) & 63 AS INT))" % (64 - _BITMAP_BITS))).alias("bits")
     )
-    values = [0] * (1 << (_BITMAP_BITS - 6))
+    values = np.zeros(1 << (_BITMAP_BITS - 6), dtype=np.int64)
     for row in words.collect():
         values[row.word] = row.bits
-    return F.from_json(F.lit(json.dumps(values)), "array<bigint>")
+    return F.lit(values)
 
 
 def _items(benchmark: DataFrame) -> DataFrame:
