@@ -6,7 +6,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as driver
+from wagelens.oracles import all_oracles
 from wagelens.plans.derived import SOURCES
+from wagelens.registry import all_queries
 
 DATA = "/root/testdata/sf0.001"
 
@@ -25,7 +27,7 @@ def comparable(rows):
     return sorted((tuple(str(v) for v in row) for row in rows))
 
 
-@pytest.mark.parametrize("name", list(driver.queries()))
+@pytest.mark.parametrize("name", list(all_queries()))
 def test_query_equals_sql(spark, database, name):
     df = driver.queries()[name](spark, DATA)
     result = database.sql(driver.oracle_sql()[name])
@@ -41,4 +43,6 @@ def test_entry_answers_the_flagship_question(spark):
 
 
 def test_every_query_has_its_sql():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(all_queries()) == set(all_oracles())
+    assert set(all_queries()) <= set(driver.queries())
+    assert set(driver.oracle_sql()) <= set(driver.queries())
