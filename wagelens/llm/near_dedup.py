@@ -1,11 +1,13 @@
 """Near-duplicate documents: MinHash, banding, verification and connected components.
 
 Documents with the same set of shingles form one class, so exact copies cost nothing further.
-Classes that agree in a band are compared in two steps. First each class with the smallest of
-its bucket, which links large groups of copies at the cost of one row per class; then, in
-buckets where several components are left, the members outside the largest component with
-all members of other components. Every pair of a bucket is thereby either in one component
-or compared, without caps and without writing out the pairs of a group of copies.
+Classes that agree in a band are compared in three steps, each among what is not yet in one
+component. First each class with the smallest of its bucket, which links large groups of
+copies at the cost of one row per class; then with another member of the bucket, drawn for
+each band; last, in buckets where several components are left, the members outside the
+largest component with all members of other components. Every pair of a bucket is thereby
+either in one component or compared, without caps and without writing out the pairs of a
+group of copies. Pairs whose signatures differ too much leave inside the joins.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wagelens.llm.components import components
@@ -27,10 +29,24 @@ from wagelens.session import staged
 # 50 bands of 6: a pair at similarity 0.8 shares no band with a chance below 3 in 10 million.
 BANDS, ROWS = 50, 6
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_SIGNED = "id bigint, n bigint, class binary, bands array<bigint>, marks binary"
-# Signatures keep a byte of each minimum. Pairs whose share of equal bytes is this far below
-# the similarity asked for (more than six deviations) are not looked at any further.
-_SLACK = 0.17
+_SIGNED = "id bigint, n bigint, class binary, bands array<bigint>, bits array<bigint>"
+_BITS = BANDS * ROWS
+
+
+def _most_differing(percent: int) -> int:
+    """Signatures keep a bit of each minimum. A pair at the similarity asked for differs in
+    half of the minima that differ; six deviations more are let through."""
+    share = (1 - percent / 100) / 2
+    return int(_BITS * share + 6 * (_BITS * share * (1 - share)) ** 0.5) + 1
+
+
+def _alike(percent: int) -> Column:
+    """Whether a pair's sizes and signatures allow the similarity; ``n, bits`` and ``other_*``."""
+    # A set can only be similar to one of at least percent / 100 of its size.
+    sizes = 100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")
+    words = -(-_BITS // 64)
+    differing = F.expr(" + ".join(f"bit_count(bits[{i}] ^ other_bits[{i}])" for i in range(words)))
+    return sizes & (differing <= _most_differing(percent))
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -65,12 +81,18 @@ def minima(hashes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return least >> np.uint64(32)
 
 
+def _packed(least: np.ndarray) -> np.ndarray:
+    """The lowest bit of every minimum, 64 to a number."""
+    bits = np.packbits((least & np.uint64(1)).astype(np.uint8))
+    return np.pad(bits, (0, -len(bits) % 8)).view("<i8")
+
+
 def _sign(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     a, b = _multipliers()
     numbers = np.arange(BANDS, dtype="<u8")[:, None]
     schema = pa.schema([
         ("id", pa.int64()), ("n", pa.int64()), ("class", pa.binary()),
-        ("bands", pa.list_(pa.int64())), ("marks", pa.binary()),
+        ("bands", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64())),
     ])
     for batch in batches:
         rows: list[list] = [[] for _ in schema]
@@ -82,7 +104,7 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
                 bands = np.array([xxhash.xxh3_64_intdigest(k.tobytes()) for k in keyed], dtype=np.uint64)
                 values = (
                     doc_id, len(own), xxhash.xxh3_128_digest(own.tobytes()),
-                    bands.view(np.int64), (least & np.uint64(255)).astype(np.uint8).tobytes(),
+                    bands.view(np.int64), _packed(least),
                 )
             else:
                 values = (doc_id, 0, None, None, None)
@@ -113,17 +135,6 @@ def _similar(percent: int):
     return similar
 
 
-def _marks_agree(percent: int):
-    least = max(0.0, percent / 100 - _SLACK)
-
-    @F.pandas_udf("boolean")
-    def agree(one: pd.Series, other: pd.Series) -> pd.Series:
-        a, b = (np.frombuffer(b"".join(s), np.uint8).reshape(len(s), -1) for s in (one, other))
-        return pd.Series((a == b).mean(axis=1) >= least)
-
-    return agree
-
-
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs ``(u, v)`` whose full sets are similar. Only their texts are read again."""
     pairs = staged(pairs, "pairs")
@@ -149,7 +160,7 @@ def near_duplicates(docs: DataFrame, width: int, percent: int = 80) -> DataFrame
     signed = staged(named.mapInArrow(partial(_sign, width=width), _SIGNED), "signatures")
     filled = signed.where("n > 0")
     classes = staged(
-        filled.groupBy("class").agg(F.min("id").alias("head"), F.first("n").alias("n"), F.first("marks").alias("marks")),
+        filled.groupBy("class").agg(F.min("id").alias("head"), F.first("n").alias("n"), F.first("bits").alias("bits")),
         "classes",
     )
     members = staged(filled.select("id", "class").join(classes.select("class", "head"), "class").select("id", "head"), "members")
@@ -159,12 +170,14 @@ def near_duplicates(docs: DataFrame, width: int, percent: int = 80) -> DataFrame
     shared = banded.groupBy("band").agg(F.min("id").alias("other"), F.max("id").alias("last"))
     shared = staged(shared.where("other != last").select("band", "other"), "shared_bands")
     buckets = staged(banded.join(shared, "band"), "buckets")
-    sizes_and_marks = classes.select(F.col("head").alias("id"), "n", "marks")
+    heads = classes.select(F.col("head").alias("id"), "n", "bits")
+    buckets = staged(buckets.drop("n").join(heads, "id"), "bucket_members")
 
-    links = _verified(_first_pairs(buckets, sizes_and_marks, percent), named, width, percent)
-    merged = staged(components(links), "merged")
-    left = _verified(_other_pairs(buckets, sizes_and_marks, merged, percent), named, width, percent)
-    reached = _joined(merged, left)
+    links = _verified(_first_pairs(buckets, heads, percent), named, width, percent)
+    reached = staged(components(links), "merged")
+    for pairs in (_drawn_pairs, _other_pairs):
+        links = _verified(pairs(_open_buckets(buckets, reached), percent), named, width, percent)
+        reached = staged(_joined(reached, links), "merged")
 
     own = members.join(reached.withColumnRenamed("node", "head"), "head", "left").select(
         "id", F.coalesce("component", "head").alias("component")
@@ -190,47 +203,53 @@ def _map(found: DataFrame) -> DataFrame:
     return found.select("node", "component")
 
 
-def _fitting(percent: int):
-    # A set can only be similar to one of at least percent / 100 of its size.
-    return 100 * F.least("n", "other_n") >= percent * F.greatest("n", "other_n")
-
-
 def _first_pairs(buckets: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
     """Every class with the smallest of each of its buckets."""
-    pairs = buckets.where("id != other").select("id", "n", "other").distinct()
-    sizes = heads.select(F.col("id").alias("other"), F.col("n").alias("other_n"))
-    return pairs.join(sizes, "other").where(_fitting(percent)).select(
+    pairs = buckets.where("id != other").select("id", "n", "bits", "other").dropDuplicates(["id", "other"])
+    theirs = heads.select(F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("bits").alias("other_bits"))
+    return pairs.join(theirs, "other").where(_alike(percent)).select(
         F.col("id").alias("u"), F.col("other").alias("v")
     )
 
 
-def _other_pairs(buckets: DataFrame, heads: DataFrame, merged: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket whose components differ, signatures allowing.
-
-    One end is always outside the bucket's largest component.
-    """
-    grouped = buckets.select("id", "n", "band").join(merged.withColumnRenamed("node", "id"), "id", "left")
+def _open_buckets(buckets: DataFrame, merged: DataFrame) -> DataFrame:
+    """The members of buckets with several components, and their largest component."""
+    grouped = buckets.select("id", "n", "bits", "band").join(merged.withColumnRenamed("node", "id"), "id", "left")
     grouped = staged(grouped.withColumn("component", F.coalesce("component", "id")), "grouped")
     sizes = grouped.groupBy("band", "component").agg(F.count(F.lit(1)).alias("size"))
     largest = sizes.groupBy("band").agg(
         F.max(F.struct("size", "component")).alias("top"), F.count(F.lit(1)).alias("parts")
     )
     largest = staged(largest.where("parts > 1").select("band", F.col("top.component").alias("top")), "largest")
-    opened = staged(grouped.join(largest, "band"), "open_buckets")
-    outside = opened.where("component != top").select(
-        "band", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component")
-    )
-    pairs = (
-        opened.join(outside, "band")
-        .where(_fitting(percent) & (F.col("component") != F.col("other_component")))
-        .where((F.col("component") == F.col("top")) | (F.col("id") < F.col("other")))
-        .select(F.greatest("id", "other").alias("u"), F.least("id", "other").alias("v")).distinct()
+    return staged(grouped.join(largest, "band"), "open_buckets")
+
+
+def _others(members: DataFrame) -> DataFrame:
+    return members.select(
+        "band", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("bits").alias("other_bits"),
+        F.col("component").alias("other_component"),
     )
-    agree = _marks_agree(percent)
+
+
+def _drawn_pairs(opened: DataFrame, percent: int) -> DataFrame:
+    """Every class with a member of each of its open buckets that the band's hash draws."""
+    draw = F.struct(F.xxhash64("band", "id"), "id", "n", "bits", "component")
+    drawn = opened.groupBy("band").agg(F.min(draw).alias("drawn")).select("band", "drawn.*")
+    return _different(opened, staged(_others(drawn), "drawn"), percent)
+
+
+def _other_pairs(opened: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket in different components. One end is outside the largest."""
+    outside = _others(opened.where("component != top"))
+    once = (F.col("component") == F.col("top")) | (F.col("id") < F.col("other"))
+    return _different(opened, outside, percent, once)
+
+
+def _different(opened: DataFrame, others: DataFrame, percent: int, once: Column | None = None) -> DataFrame:
+    apart = _alike(percent) & (F.col("component") != F.col("other_component"))
     return (
-        pairs.join(heads.select(F.col("id").alias("u"), F.col("marks").alias("a")), "u")
-        .join(heads.select(F.col("id").alias("v"), F.col("marks").alias("b")), "v")
-        .where(agree("a", "b")).select("u", "v")
+        opened.join(others, "band").where(apart if once is None else apart & once)
+        .select(F.greatest("id", "other").alias("u"), F.least("id", "other").alias("v")).distinct()
     )
 
 

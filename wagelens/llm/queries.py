@@ -64,19 +64,19 @@ WITH RECURSIVE words AS (
 ), shingled AS (
   SELECT doc_id, list_distinct(
       CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
-      ELSE list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]) END) AS s
+      ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS s
   FROM words
 ), sets AS (
   SELECT doc_id, coalesce(len(s), 0) AS n, s FROM shingled
 ), parts AS (
   SELECT doc_id, n, unnest(s) AS shingle FROM sets
 ), shared AS (
-  SELECT a.doc_id AS u, b.doc_id AS v, a.n AS nu, b.n AS nv, count(*) AS both
+  SELECT a.doc_id AS u, b.doc_id AS v, a.n AS nu, b.n AS nv, count(*) AS common
   FROM parts a JOIN parts b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
   AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
   GROUP BY ALL
 ), links AS (
-  SELECT u, v FROM shared WHERE 100 * both >= 80 * (nu + nv - both)
+  SELECT u, v FROM shared WHERE 100 * common >= 80 * (nu + nv - common)
 ), arcs AS (
   SELECT u, v FROM links UNION ALL SELECT v, u FROM links
 ), reach(node, seen) AS (
