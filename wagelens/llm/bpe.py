@@ -22,7 +22,7 @@ import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-MEMORY = 800_000
+MEMORY = 250_000
 _BATCH = 4_096
 _WORDS_AT_ONCE = 200_000
 # White space as the tokenizer sees it. str.split() also splits at the four separators
@@ -184,7 +184,7 @@ class BoundaryEncoder(_Remembering):
         super().__init__(known)
         self.joined = inner_pairs(known.ids, known.suffix)
         self._tokenizers = {final: known.bare_tokenizer(final, spelled=True) for final in (False, True)}
-        self._fragments: dict[tuple[bool, str], bytes] = {}
+        self._fragments: dict[bool, dict[str, bytes]] = {False: {}, True: {}}
         # A mark between fragments that are encoded in one call; never a fragment itself.
         self._mark = {final: self._tokenizers[final].encode("Ā").ids for final in (False, True)}
 
@@ -205,16 +205,14 @@ class BoundaryEncoder(_Remembering):
                 rest.append(word)
         own |= self._split(rest)
         parts = {w: [self.fragments(p) for p in pieces] for w, pieces in own.items()}
-        if len(self._fragments) > MEMORY:
-            self._fragments.clear()
-        wanted = {
-            (i == len(fs) - 1, f) for pieces in parts.values() for fs in pieces for i, f in enumerate(fs)
-        }
-        for final in (False, True):
-            self._learn_fragments(final, [f for at_end, f in wanted if at_end == final and (final, f) not in self._fragments])
-        known = self._fragments
+        inner, ends = self._fragments[False], self._fragments[True]
+        for final, known in self._fragments.items():
+            if len(known) > MEMORY // 2:
+                known.clear()
+            used = (f for pieces in parts.values() for fs in pieces for f in (fs[-1:] if final else fs[:-1]))
+            self._learn_fragments(final, [f for f in dict.fromkeys(used) if f not in known])
         ids = {
-            w: b"".join(known[i == len(fs) - 1, f] for fs in pieces for i, f in enumerate(fs))
+            w: b"".join(b"".join([*map(inner.__getitem__, fs[:-1]), ends[fs[-1]]]) for fs in pieces)
             for w, pieces in parts.items()
         }
         others = [w for w in words if w not in ids]
@@ -255,9 +253,9 @@ class BoundaryEncoder(_Remembering):
             if len(marks) != len(part) - 1:
                 raise RuntimeError("a fragment holds the mark")
             for f, a, b in zip(part, edges, edges[1:]):
-                self._fragments[final, f] = ids[a + 1 : b].tobytes()
+                self._fragments[final][f] = ids[a + 1 : b].tobytes()
         if "Ā" in fragments:
-            self._fragments[final, "Ā"] = np.array(self._mark[final], dtype="<u4").tobytes()
+            self._fragments[final]["Ā"] = np.array(self._mark[final], dtype="<u4").tobytes()
 
 
 def inner_pairs(ids: Iterable[str], suffix: str) -> set[tuple[str, str]]:
