@@ -187,7 +187,7 @@ def test_ledger_without_the_tech_filter(filings):
 
 
 def test_ledger_refuses_a_table_of_other_data(filings):
-    with pytest.raises(ValueError, match="stages account"):
+    with pytest.raises(ValueError, match="should be left"):
         ledger.reconciled_ledger(ledger_rows(filings), cleaning.clean(filings()))
 
 
@@ -196,5 +196,32 @@ def test_rows_read_may_come_from_an_earlier_step(filings):
     cleaned = cleaning.clean(unique)
     stages = ledger.reconciled_ledger(unique, cleaned, rows_read=5)
     assert (stages["rows read"], stages["duplicate cases"], stages["rows out"]) == (5, 2, 2)
-    with pytest.raises(ValueError, match="below"):
+    with pytest.raises(ValueError, match="cannot hold"):
         ledger.reconciled_ledger(unique, cleaned, rows_read=2)
+
+
+def test_text_dates_are_ordered_as_dates(filings):
+    case = {"CASE_NUMBER": "I-200-25001-000009"}
+    raw = filings(
+        {**case, "DECISION_DATE": "9/30/2024", "JOB_TITLE": "older"},
+        {**case, "DECISION_DATE": "10/15/2024", "JOB_TITLE": "newer"},
+        types={"DECISION_DATE": "string"},
+    )
+    assert [r.JOB_TITLE for r in cleaning.latest_filings(raw).collect()] == ["newer"]
+    assert ledger.stage_row(raw).first()["unique filings"] == 1
+
+
+def test_a_refused_write_leaves_the_table_as_it_was(spark, filings, tmp_path):
+    path = tmp_path / "cleaned"
+    cleaning.write_cleaned(filings({}, {}), str(path))
+    with pytest.raises(cleaning.BadFilings):
+        cleaning.write_cleaned(filings({"WAGE_RATE_OF_PAY_FROM": float("inf")}), str(path))
+    assert spark.read.parquet(str(path)).count() == 2
+    assert [p.name for p in tmp_path.iterdir() if not p.name.startswith(".")] == ["cleaned"]
+    cleaning.write_cleaned(filings({}), str(path))
+    assert spark.read.parquet(str(path)).count() == 1
+
+
+def test_a_wage_that_is_no_number_is_missing(filings):
+    row = cleaning.clean(filings({"WAGE_RATE_OF_PAY_FROM": float("nan")})).first()
+    assert row.annual_wage is None and row.is_outlier

@@ -73,11 +73,6 @@ def test_ties_inside_a_source_go_to_the_later_part(spark, filings, tmp_path):
     assert [r.JOB_TITLE for r in kept] == ["t11"]
 
 
-def test_needed_columns_always_hold_the_deduplication_columns():
-    assert sources.needed_columns(["EMPLOYER_NAME"]) == ["CASE_NUMBER", "DECISION_DATE", "EMPLOYER_NAME"]
-    assert sources.needed_columns(None) is None
-
-
 def test_only_the_needed_columns_are_read(spark, quarters):
     df = sources.load_filings(spark, quarters, columns=["EMPLOYER_NAME"])
     assert set(df.columns) == {"CASE_NUMBER", "DECISION_DATE", "EMPLOYER_NAME", "_position"}

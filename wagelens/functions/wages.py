@@ -13,18 +13,23 @@ from wagelens import fixed
 _NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 
+def _finite(value: Column) -> Column:
+    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+
+
 def to_wage(value: Column, dtype: T.DataType) -> Column:
-    """A double; blank is null. Text that is no number is null too, and `unreadable` finds it."""
+    """A finite double; blank and NaN are null. What is no number, or no finite one, is null
+    too, and `unreadable` finds it."""
     if isinstance(dtype, T.StringType):
-        return F.when(value.rlike(_NUMBER), F.trim(value).try_cast("double"))
-    return value.cast("double")
+        return _finite(F.when(value.rlike(_NUMBER), F.trim(value).try_cast("double")))
+    return _finite(value.cast("double"))
 
 
 def unreadable(value: Column, dtype: T.DataType) -> Column:
-    """True where a non-blank cell holds something that is not a number."""
+    """True where a non-blank cell holds something that is not a finite number."""
     if isinstance(dtype, T.StringType):
         return value.isNotNull() & to_wage(value, dtype).isNull()
-    return F.lit(False)
+    return F.coalesce(F.abs(value.cast("double")) == float("inf"), F.lit(False))
 
 
 def unit_multiplier(unit: Column) -> Column:
@@ -36,7 +41,7 @@ def unit_multiplier(unit: Column) -> Column:
 
 
 def mislabelled(value: Column, unit: Column) -> Column:
-    """Implausible once scaled, plausible as filed: an annual figure under a wrong unit."""
+    """Whether the unit must be wrong: scaled by it the wage is too high, as it stands it is not."""
     scaled_too_high = value * unit_multiplier(unit) > fixed.PLAUSIBLE_HI
     plausible_raw = value.between(fixed.PLAUSIBLE_LO, fixed.PLAUSIBLE_HI)
     return F.coalesce(scaled_too_high & plausible_raw, F.lit(False))

@@ -6,6 +6,8 @@ repair, annualization, band midpoint and only then the outlier flags.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,7 @@ from wagelens.functions import dates, text, wages
 from wagelens.functions.cases import well_formed
 from wagelens.operators.latest import latest_per_key
 from wagelens.sources.filings import POSITION
+from wagelens.sources.sinks import remove, replace
 
 
 class BadFilings(ValueError):
@@ -31,7 +34,7 @@ _WAGE_COLUMNS = ("WAGE_RATE_OF_PAY_FROM", "WAGE_RATE_OF_PAY_TO", "PREVAILING_WAG
 
 def latest_filings(raw: DataFrame, position: str = POSITION) -> DataFrame:
     """One row per case. A missing decision date counts as the latest; ties go to the later row."""
-    recency = [F.col("DECISION_DATE").desc_nulls_first()]
+    recency = [_date(raw, "DECISION_DATE").desc_nulls_first()]
     if position in raw.columns:
         recency.append(F.col(position).desc())
     return latest_per_key(raw, "CASE_NUMBER", recency)
@@ -188,12 +191,20 @@ def write_cleaned(
     """Write the cleaned table and check the rules in the same pass.
 
     The counts ride along as observed metrics. A repeated task can raise a count but
-    never make a violation disappear, so comparing with zero is safe.
+    never make a violation disappear, so comparing with zero is safe. The rows go to a
+    folder beside ``path``, which takes its place once they are known to be valid and goes
+    if they are not: a refused write leaves the table that was there.
     """
     kept = certified(latest_filings(raw))
     seen = Observation("rules")
     out = cleaned_layout(kept.observe(seen, *violation_counts(kept, earliest_year)), earliest_year)
     if tech_only:
         out = out.filter(text.is_tech(F.col("soc_code")))
-    out.write.mode("overwrite").parquet(path)
-    _refuse(seen.get, kept)
+    fresh = f"{path.rstrip('/')}.{uuid.uuid4().hex[:12]}"
+    try:
+        out.write.parquet(fresh)
+        _refuse(seen.get, kept)
+    except BaseException:
+        remove(raw.sparkSession, fresh)
+        raise
+    replace(raw.sparkSession, fresh, path)

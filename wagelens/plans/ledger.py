@@ -1,4 +1,4 @@
-"""Attribute every discarded row to the rule that discarded it."""
+"""How many rows each stage of the cleaning takes away."""
 
 from __future__ import annotations
 
@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from wagelens import fixed
 from wagelens.functions import text
+from wagelens.functions.dates import lenient_date
 from wagelens.operators.latest import latest_per_key
 from wagelens.operators.summaries import unpivot_counts
 from wagelens.sources.filings import POSITION
 
+# The stages, in order, as they are reported.
 STAGES = (
     "rows read",
     "duplicate cases",
@@ -34,7 +36,8 @@ def stage_row(raw: DataFrame, tech_only: bool = True) -> DataFrame:
         "SOC_CODE",
         *([POSITION] if POSITION in raw.columns else []),
     )
-    recency = [F.col("DECISION_DATE").desc_nulls_first()]
+    decided = lenient_date(F.col("DECISION_DATE"), raw.schema["DECISION_DATE"].dataType)
+    recency = [decided.desc_nulls_first()]
     if POSITION in narrow.columns:
         recency.append(F.col(POSITION).desc())
     latest = latest_per_key(narrow, "CASE_NUMBER", recency)
@@ -61,22 +64,17 @@ def stage_ledger(raw: DataFrame, tech_only: bool = True) -> DataFrame:
 def reconciled_ledger(
     raw: DataFrame, cleaned: DataFrame, tech_only: bool = True, rows_read: int | None = None
 ) -> dict[str, int]:
-    """The ledger checked against the cleaned table itself; raises when they disagree.
+    """The ledger of ``raw`` as a dict, if it ends in as many rows as ``cleaned`` has.
 
-    ``rows_read`` opens the ledger for filings that were deduplicated before they came
-    here; otherwise the rows of ``raw`` are what was read.
+    Where ``raw`` was deduplicated before, ``rows_read`` tells how many rows there were.
     """
-    stages = stage_row(raw, tech_only).first().asDict()
-    unique = stages["unique filings"]
+    counts = stage_row(raw, tech_only).first().asDict()
     if rows_read is not None:
-        if rows_read < unique:
-            # Deduplication only removes rows, so a smaller count belongs to other data.
-            raise ValueError(f"rows_read={rows_read:,} is below the {unique:,} unique filings")
-        stages |= {"rows read": rows_read, "duplicate cases": rows_read - unique}
-    rows = cleaned.count()
-    explained = unique - stages["not certified"] - stages["not tech"]
-    if explained != rows:
-        raise ValueError(
-            f"stages account for {explained:,} rows but the cleaned table holds {rows:,}"
-        )
-    return {stage: stages[stage] for stage in STAGES}
+        counts["rows read"] = rows_read
+        counts["duplicate cases"] = rows_read - counts["unique filings"]
+    if counts["duplicate cases"] < 0:
+        raise ValueError(f"{rows_read} rows read cannot hold {counts['unique filings']} different cases")
+    found = cleaned.count()
+    if found != counts["rows out"]:
+        raise ValueError(f"{counts['rows out']} rows should be left, {found} are in the cleaned table")
+    return {stage: counts[stage] for stage in STAGES}

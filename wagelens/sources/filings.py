@@ -34,13 +34,6 @@ def find_sources(spark: SparkSession, folder: str, pattern: str = "LCA_*.parquet
     return found
 
 
-def needed_columns(columns: Sequence[str] | None) -> list[str] | None:
-    """The requested columns plus the two that deduplication reads."""
-    if columns is None:
-        return None
-    return sorted({*columns, *DEDUPE_COLUMNS})
-
-
 def read_source(spark: SparkSession, path: str) -> DataFrame:
     """One source without its blank padding rows. The key column is found by name."""
     if path.endswith(".csv"):
@@ -81,7 +74,8 @@ def read_filings(
     """
     frames = [read_source(spark, path) for path in paths]
     present = {c for df in frames for c in df.columns}
-    wanted = needed_columns(columns) or sorted(present)
+    # Without a choice every column that some source has; deduplication's are always read.
+    wanted = sorted(present if columns is None else set(columns).union(DEDUPE_COLUMNS))
     missing = [c for c in wanted if c not in present]
     if missing:
         raise ValueError(f"no source has the columns {missing}")

@@ -109,3 +109,18 @@ def write_database(
         tables[name].write.jdbc(
             url, name, mode="append", properties={**login, "batchsize": str(batch_rows)}
         )
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder, if it is there, on whatever file system it lies."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def replace(spark: SparkSession, fresh: str, path: str) -> None:
+    """Puts the folder ``fresh`` in the place of ``path``."""
+    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (fresh, path))
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.delete(target, True)
+    if not files.rename(source, target):
+        raise OSError(f"{fresh} could not be moved to {path}")
