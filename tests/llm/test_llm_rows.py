@@ -49,6 +49,8 @@ def test_encoders_equal_the_library(library, kind):
 
 def test_encoder_forgets_and_learns_again(library, monkeypatch):
     monkeypatch.setattr(bpe, "MEMORY", 5)
+    monkeypatch.setattr(bpe.LibraryEncoder, "memory", 5)
+    monkeypatch.setattr(bpe.BoundaryEncoder, "memory", 5)
     monkeypatch.setattr(bpe, "_WORDS_AT_ONCE", 3)
     texts = random_texts(100, 8)
     for kind in (bpe.LibraryEncoder, bpe.BoundaryEncoder):

@@ -97,6 +97,8 @@ def encoder(kind: type, path: str):
 
 
 class _Remembering:
+    memory = MEMORY
+
     def __init__(self, known: Vocabulary):
         self.known = known
         self._memory: dict[str, bytes] = {}
@@ -113,7 +115,7 @@ class _Remembering:
         yield from self._encode(group)
 
     def _encode(self, group: list[list[str]]) -> Iterator[bytes]:
-        if len(self._memory) > MEMORY:
+        if len(self._memory) > self.memory:
             self._memory.clear()
         known = self._memory
         found = [list(map(known.get, words)) for words in group]
@@ -149,24 +151,30 @@ class LibraryEncoder(_Remembering):
 
     Plain words, Latin letters with punctuation after them, need no normal form but lower case
     and no further split: they go to the library's merges many at a time and are told apart by
-    their word-end marks. All others go through the whole tokenizer.
+    their word-end marks, and are remembered for other cases and punctuation. All others go
+    through the whole tokenizer.
     """
 
+    memory = 400_000
+
     def __init__(self, known: Vocabulary):
         super().__init__(known)
         self._ends = np.array([n.endswith(known.suffix.encode()) for n in known.names])
         self._bare = known.bare_tokenizer()
+        self._pieces: dict[str, bytes] = {"": b""}
 
     def _ids_of(self, words: list[str]) -> list[bytes]:
-        plain = {w: m.groups() for w in words if (m := _CORE.fullmatch(w))}
-        pieces = list(dict.fromkeys(p for parts in plain.values() for p in parts if p))
-        joined = " ".join(pieces).lower()
-        ids = np.array(self._bare.encode(joined, add_special_tokens=False).ids, dtype="<u4")
+        plain = {w: m.groups() for w in words if (m := _CORE.fullmatch(w.lower()))}
+        known = self._pieces
+        if len(known) > self.memory:
+            known.clear()
+            known[""] = b""
+        pieces = list(dict.fromkeys(p for parts in plain.values() for p in parts if p not in known))
+        ids = np.array(self._bare.encode(" ".join(pieces), add_special_tokens=False).ids, dtype="<u4")
         ends = np.flatnonzero(self._ends[ids]) + 1 if len(ids) else np.empty(0, int)
         if len(ends) != len(pieces):
             raise RuntimeError("a plain word was not one word to the tokenizer")
-        known = dict(zip(pieces, _cut(ids, ends)))
-        known[""] = b""
+        known.update(zip(pieces, _cut(ids, ends)))
         others = [w for w in words if w not in plain]
         rest = dict(zip(others, self._library_ids(others)))
         return [known[plain[w][0]] + known[plain[w][1]] if w in plain else rest[w] for w in words]
