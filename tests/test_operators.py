@@ -112,14 +112,23 @@ def test_latest_uses_one_row_per_task_before_the_shuffle(spark):
 
 def test_state_paths(spark):
     rows = [
-        ("a", "Certified", "2025-01-01", 1), ("a", "Withdrawn", "2025-02-01", 2),
-        ("b", "Certified", "2025-03-01", 1), ("b", "Withdrawn", None, 2),
-        ("c", "Certified", "2025-01-01", 1),
-        ("d", "Certified", "2025-01-01", 1), ("d", "Certified", "2025-01-01", 1),
+        ("a", "Certified", "2025-01-01", 1, 1), ("a", "Withdrawn", "2025-02-01", 2, 2),
+        ("b", "Certified", "2025-03-01", 1, 3), ("b", "Withdrawn", None, 2, 4),
+        ("c", "Certified", "2025-01-01", 1, 5),
+        ("d", "Certified", "2025-01-01", 1, 6), ("d", "Certified", "2025-01-01", 1, 7),
+        # Back to an earlier state on one day: every run is kept, in order.
+        ("e", "Certified", "2025-01-01", 1, 8), ("e", "Withdrawn", "2025-01-01", 1, 9),
+        ("e", "Certified", "2025-01-01", 1, 10),
+        ("f", "Certified", "2025-01-01", 1, 13), ("f", "Denied", "2025-01-01", 1, 11),
+        ("f", "Denied", "2025-01-01", 1, 12),
     ]
-    df = spark.createDataFrame(rows, "k string, s string, d string, src int")
-    got = {r.path: r.n for r in latest.state_paths(df, "k", "s", "d", "src", "path", "n").collect()}
-    assert got == {"Certified→Withdrawn": 2, "Certified (x2)": 1}
+    df = spark.createDataFrame(rows, "k string, s string, d string, src int, at int")
+    order = [F.col("d"), F.col("src"), F.col("at")]
+    got = {r.path: r.n for r in latest.state_paths(df, "k", "s", order, "path", "n").collect()}
+    assert got == {
+        "Certified→Withdrawn": 2, "Certified (x2)": 1, "Certified→Withdrawn→Certified": 1,
+        "Denied (x2)→Certified": 1,
+    }
 
 
 def test_rows_of_repeated_keys(spark):

@@ -272,3 +272,16 @@ def test_flags_in_the_view_equal_the_cleaned_table(build, filings):
     columns = ["case_number", "employer_name", "job_title", "soc_code", "worksite_city", "is_outlier", "fiscal_year"]
     same = checks.differing_rows(stars.joined_view(star).select(*columns), cleaned.select(*columns))
     assert same.count() == 0
+
+
+def test_wages_wider_than_32_bits_are_kept(build):
+    star = build({"WAGE_RATE_OF_PAY_FROM": 2_000_001.0, "WAGE_UNIT_OF_PAY": "Hour"})
+    assert values(star.filings, "annual_wage", "is_outlier") == [(2_000_001 * 2080, True)]
+    asked = q.salary_percentiles(star, include_outliers=True).first()
+    assert (asked.p50, asked.n_filings) == (2_000_001.0 * 2080, 1)
+
+
+@pytest.mark.parametrize("column", ["JOB_TITLE", "EMPLOYER_NAME", "SOC_TITLE"])
+def test_missing_lookup_text_is_refused(build, column):
+    with pytest.raises(stars.BrokenStar, match="nulls"):
+        build({}, {column: None, "CASE_NUMBER": "I-200-25001-999999", "SOC_CODE": "15-2051.00"})

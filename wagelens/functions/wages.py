@@ -66,5 +66,5 @@ def outside_band(wage: Column) -> Column:
 
 
 def whole_dollars(wage: Column) -> Column:
-    """Round half to even, the rule the stored figures follow."""
-    return F.rint(wage).cast("int")
+    """Round half to even, the rule the stored figures follow; 64 bits, so no wage is too wide."""
+    return F.rint(wage).cast("bigint")

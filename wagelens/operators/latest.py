@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wagelens.operators.positions import positions_within
+
 ARROW = "→"
 
 
@@ -39,36 +41,30 @@ def rows_of_repeated_keys(df: DataFrame, key: str) -> DataFrame:
 
 
 def state_paths(
-    df: DataFrame, key: str, state: str, day: str, source: str, path_name: str, n_name: str
+    df: DataFrame, key: str, state: str, order: Sequence[Column], path_name: str, n_name: str
 ) -> DataFrame:
     """How many keys went through which sequence of states, for keys seen more than once.
 
-    States are counted per key, day and source before they are collected, so the list a
-    key gathers grows with its days and sources, not with its rows. A state filed
-    several times running is written once with its count, which keeps the cell of a very
-    frequent key small and still says all of it.
+    The sequence follows ``order``. Neighbouring rows in one state are a run, written once
+    with its length, ``Certified (x3)``; a state that comes back later is written again. The
+    rows of a run are those whose rank inside the key and rank inside (key, state) differ by
+    the same number. Both ranks come from range-partitioned sorts, so the rows of a very
+    frequent key are spread; the list gathered per key grows with its changes of state.
     """
-    per_state = (
-        df.groupBy(key, day, source, state)
-        .agg(F.count(F.lit(1)).alias("_n"))
+    ordered = {f"_by{i}": column for i, column in enumerate(order)}
+    rows = rows_of_repeated_keys(df.select(key, state, *[c.alias(n) for n, c in ordered.items()]), key)
+    # Nulls last: a row without a value to order by counts as the latest.
+    by = [F.col(name).asc_nulls_last() for name in ordered]
+    placed = positions_within(rows, [key], by, "_at").select(key, state, "_at")
+    ranked = positions_within(placed, [key, state], [F.col("_at")], "_own")
+    runs = ranked.groupBy(key, state, (F.col("_at") - F.col("_own")).alias("_run")).agg(
+        F.min("_at").alias("_at"), F.count(F.lit(1)).alias("_n")
     )
     step = F.when(F.col("_n") == 1, F.col(state)).otherwise(
         F.concat(F.col(state), F.lit(" (x"), F.col("_n").cast("string"), F.lit(")"))
     )
-    steps = F.array_sort(
-        F.collect_list(
-            F.struct(
-                F.col(day).isNull().alias("undated"),
-                F.col(day).alias("day"),
-                F.col(source).alias("source"),
-                step.alias("step"),
-            )
-        )
-    )
-    paths = (
-        per_state.groupBy(key)
-        .agg(F.sum("_n").alias("_rows"), steps.alias("_steps"))
-        .filter(F.col("_rows") > 1)
-        .select(F.array_join(F.col("_steps.step"), ARROW).alias(path_name))
+    steps = F.array_sort(F.collect_list(F.struct("_at", step.alias("step"))))
+    paths = runs.groupBy(key).agg(steps.alias("_steps")).select(
+        F.array_join(F.col("_steps.step"), ARROW).alias(path_name)
     )
     return paths.groupBy(path_name).agg(F.count(F.lit(1)).alias(n_name))

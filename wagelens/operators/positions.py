@@ -49,6 +49,29 @@ def global_positions(df: DataFrame, order: Sequence[Column], name: str) -> DataF
     )
 
 
+def running_sums(df: DataFrame, order: str, value: str, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` up to and including each row under ``order``.
+
+    As above: one sort, sums inside each sorted part, and the parts' sums as offsets, so
+    that no window runs over everything. ``order`` must be total.
+    """
+    spark = df.sparkSession
+    path = staging_path(spark, "sums")
+    df.orderBy(order).withColumn("__slot", F.monotonically_increasing_id()).write.parquet(path)
+    slots = spark.read.parquet(path).withColumn("__part", F.shiftright("__slot", _ROW_BITS))
+    before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    # One row per write task.
+    offsets = slots.groupBy("__part").agg(F.sum(value).alias("__size")).select(
+        "__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__offset")
+    )
+    inside = W.partitionBy("__part").orderBy("__slot").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return (
+        slots.withColumn("__sum", F.sum(value).over(inside)).join(F.broadcast(offsets), "__part")
+        .withColumn(name, F.col("__offset") + F.col("__sum"))
+        .drop("__slot", "__part", "__offset", "__sum")
+    )
+
+
 def positions_within(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str
 ) -> DataFrame:

@@ -142,18 +142,21 @@ def ranked_quantiles(
 ) -> DataFrame:
     """Quantiles per key over any finite numbers, by rank; no keys gives one row.
 
-    Integers of 32 bits repeat, so counting equal values first shrinks them. Others may
-    all differ; their cells are counted row by row, which combines on the map side, and
-    only the rows of the wanted cells are shuffled. ``df`` is then read twice: pass a
-    stored table, not a long plan.
+    Integers repeat, so counting equal values first shrinks them; those of 64 bits are then
+    cut as fractions are. Fractions may all differ; their cells are counted row by row, which
+    combines on the map side, and only the rows of the wanted cells are shuffled. ``df`` is
+    then read twice: pass a stored table, not a long plan.
     """
     cell = _magnitude_cell(F.col(value))
     if isinstance(df.schema[value].dataType, _SMALL_INTEGERS):
         counts = value_counts(df, keys, value).withColumn("_cell", cell)
         placed = _narrow(counts, keys, value, fractions)
     else:
-        rows = df.select(*keys, value).filter(F.col(value).isNotNull())
-        rows = rows.withColumns({"_n": F.lit(1).cast("bigint"), "_cell": cell})
+        if isinstance(df.schema[value].dataType, T.LongType):
+            rows = value_counts(df, keys, value)
+        else:
+            rows = df.select(*keys, value).filter(F.col(value).isNotNull()).withColumn("_n", F.lit(1).cast("bigint"))
+        rows = rows.withColumn("_cell", cell)
         placed = (
             _narrow(rows, keys, value, fractions)
             .groupBy(*keys, value, "_base", "_total", "_low", "_high")

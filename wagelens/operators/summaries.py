@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wagelens.operators.positions import running_sums
 from wagelens.operators.quantiles import ranked_quantiles
 
 
@@ -20,23 +20,13 @@ def histogram(df: DataFrame, value: str, width: int, floor_name: str, n_name: st
 def cumulative_cutoff(
     bins: DataFrame, floor_name: str, n_name: str, share: float
 ) -> DataFrame:
-    """Where a histogram has shown ``share`` of its rows, and how many rows lie beyond.
-
-    The window runs over bins, not rows; their number is the value range over the width.
-    """
-    upto = W.orderBy(floor_name).rowsBetween(W.unboundedPreceding, W.currentRow)
-    everything = W.orderBy(floor_name).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    reached = bins.select(
-        floor_name,
-        n_name,
-        (F.sum(n_name).over(upto) / F.sum(n_name).over(everything)).alias("_reached"),
-        F.lag(F.lit(1)).over(W.orderBy(floor_name)).alias("_has_previous"),
-    ).withColumn(
-        "_before", F.coalesce(F.lag("_reached").over(W.orderBy(floor_name)), F.lit(0.0))
-    )
-    # A bin lies beyond the cut when the bin before it already reached the share.
-    beyond = (F.col("_before") >= share) & F.col("_has_previous").isNotNull()
-    return reached.agg(
+    """Where a histogram has shown ``share`` of its rows, and how many rows lie beyond."""
+    summed = running_sums(bins, floor_name, n_name, "_upto")
+    total = summed.agg(F.max("_upto")).scalar()
+    before = F.col("_upto") - F.col(n_name)
+    # A bin lies beyond the cut when the bins before it already reached the share.
+    beyond = (before > 0) & (before / total >= share)
+    return summed.agg(
         F.max(F.when(~beyond, F.col(floor_name))).alias("cap"),
         F.coalesce(F.sum(F.when(beyond, F.col(n_name))), F.lit(0)).alias("beyond"),
     ).filter(F.col("cap").isNotNull())

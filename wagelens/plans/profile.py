@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wagelens import fixed
 from wagelens.functions import text, wages
+from wagelens.functions.dates import lenient_date
 from wagelens.operators.latest import state_paths
 from wagelens.operators.quantiles import ranked_quantiles
 from wagelens.operators.summaries import (
@@ -19,14 +20,19 @@ from wagelens.operators.summaries import (
 )
 from wagelens.plans.clean import annualized
 from wagelens.session import staged
+from wagelens.sources.filings import POSITION
 
 SUMMARY_FRACTIONS = {"p01": 0.01, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p99": 0.99}
 ESCAPE_PRONE = ("JOB_TITLE", "SOC_CODE", "EMPLOYER_NAME", "WORKSITE_CITY", "SOC_TITLE")
 
 
 def status_transitions(raw: DataFrame, source: str) -> DataFrame:
-    """Which status sequences the cases seen more than once went through."""
-    return state_paths(raw, "CASE_NUMBER", "CASE_STATUS", "DECISION_DATE", source, "path", "n_cases")
+    """Which status sequences the cases seen more than once went through, in filing order: by
+    decision date, undated last, then by source, then by row."""
+    order = [lenient_date(F.col("DECISION_DATE"), raw.schema["DECISION_DATE"].dataType), F.col(source)]
+    if POSITION in raw.columns:
+        order.append(F.col(POSITION))
+    return state_paths(raw, "CASE_NUMBER", "CASE_STATUS", order, "path", "n_cases")
 
 
 def unit_mix(latest: DataFrame) -> DataFrame:

@@ -20,6 +20,7 @@ from wagelens.functions import wages
 from wagelens.functions.cases import case_day, case_number, case_order, case_prefix, case_serial
 from wagelens.operators.checks import duplicate_keys, null_counts, orphan_report
 from wagelens.operators.positions import bucketed_positions
+from wagelens.operators.summaries import unpivot_counts
 from wagelens.sources.sinks import current_run, publish, verify_rows
 
 # ---- fixed values: lookup table, id, keys, and what is carried beside the key ---
@@ -33,15 +34,15 @@ LOOKUPS = [
 
 # Column names and types of the six tables, as schema text.
 SCHEMAS = {
-    "employers": "employer_id int, employer_name string, raw_name_sample string",
-    "occupations": "soc_id int, soc_code string, soc_title string",
-    "titles": "title_id int, job_title string",
-    "locations": "location_id int, worksite_city string, worksite_state string",
-    "visa_classes": "visa_class_id int, visa_class string",
+    "employers": "employer_id bigint, employer_name string, raw_name_sample string",
+    "occupations": "soc_id bigint, soc_code string, soc_title string",
+    "titles": "title_id bigint, job_title string",
+    "locations": "location_id bigint, worksite_city string, worksite_state string",
+    "visa_classes": "visa_class_id bigint, visa_class string",
     "filings": (
-        "case_serial bigint, case_prefix int, employer_id int, soc_id int, title_id int,"
-        " location_id int, visa_class_id int, annual_wage int, annual_from int, annual_to int,"
-        " prevailing_wage int, fiscal_year int, full_time boolean, withdrawn boolean,"
+        "case_serial bigint, case_prefix int, employer_id bigint, soc_id bigint, title_id bigint,"
+        " location_id bigint, visa_class_id bigint, annual_wage bigint, annual_from bigint, annual_to bigint,"
+        " prevailing_wage bigint, fiscal_year int, full_time boolean, withdrawn boolean,"
         " is_outlier boolean, pw_outlier boolean, unit_repaired boolean, pw_repaired boolean"
     ),
 }
@@ -50,6 +51,9 @@ TABLES = [name for name, *_ in LOOKUPS] + ["filings"]
 COLUMNS = {name: [field.split()[0] for field in text.split(",")] for name, text in SCHEMAS.items()}
 FACT_COLUMNS = COLUMNS["filings"]
 
+# What is carried beside a key may be null, but for these.
+REQUIRED_PAYLOADS = ("soc_title",)
+
 # Columns that may not be null: every id and flag, the key, and the year.
 REQUIRED = [
     c for c in FACT_COLUMNS if c not in ("annual_wage", "annual_from", "annual_to", "prevailing_wage")
@@ -111,7 +115,7 @@ def numbered_lookup(
         seen.withColumn("_day", case_day(F.col("_first"))), "_day", [F.col("_first")], "_id"
     )
     return ranked.select(
-        F.col("_id").cast("int").alias(id_column), *keys, *([payload] if payload else [])
+        F.col("_id").cast("bigint").alias(id_column), *keys, *([payload] if payload else [])
     )
 
 
@@ -243,6 +247,16 @@ def missing_values(star: Star) -> DataFrame:
     return null_counts(star.filings, REQUIRED)
 
 
+def missing_lookup_values(star: Star) -> DataFrame:
+    """(lookup, column, n_rows): nulls in ids, keys and occupation titles; all zero in a sound star."""
+    parts = []
+    for name, id_column, keys, payload in LOOKUPS:
+        columns = [id_column, *keys, *([payload] if payload in REQUIRED_PAYLOADS else [])]
+        counts = unpivot_counts(null_counts(star.table(name), columns), "column", "n_rows")
+        parts.append(counts.select(F.lit(name).alias("lookup"), "column", "n_rows"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def repeated_serials(star: Star) -> DataFrame:
     return duplicate_keys(star.filings, ["case_serial"])
 
@@ -262,6 +276,7 @@ def _check(star: Star) -> None:
     """Not-null and key rules. An id without a lookup row is a null here: ids come from a
     left join with the lookups, so references need no second pass."""
     nulls = {c: n for c, n in missing_values(star).first().asDict().items() if n}
+    nulls |= {f"{r.lookup}.{r.column}": r.n_rows for r in missing_lookup_values(star).collect() if r.n_rows}
     if nulls:
         raise BrokenStar(f"nulls in required columns: {nulls}")
     shared = repeated_serials(star).count()

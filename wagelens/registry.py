@@ -271,14 +271,14 @@ def rank_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flat_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Medians by employer on the flat cleaned table, without the star."""
     flat = _cleaned(spark, sf_dir).filter(~F.col("is_outlier")).select(
-        "employer_name", F.rint("annual_wage").cast("int").alias("annual_wage")
+        "employer_name", F.rint("annual_wage").cast("bigint").alias("annual_wage")
     )
     return grouped_quantiles(flat, ["employer_name"], "annual_wage", questions.QUARTILES, "n_filings")
 
 
 def flat_quantiles_by_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = _cleaned(spark, sf_dir).select(
-        "worksite_state", "full_time", F.rint("annual_wage").cast("int").alias("annual_wage")
+        "worksite_state", "full_time", F.rint("annual_wage").cast("bigint").alias("annual_wage")
     )
     return ranked_quantiles(
         flat, ["worksite_state", "full_time"], "annual_wage", questions.QUARTILES, "n_filings"
