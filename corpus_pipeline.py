@@ -19,13 +19,16 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def repeated_lines_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repetitions of runs of lines go, and documents of which nothing else is left."""
+    """Later repetitions of passages go, and documents of which nothing else is left."""
     return line_dedup.unrepeated_documents(docs)
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: five-word shingles, similarity 0.8 or more."""
-    return near_dedup.without_near_duplicates(docs, width=5, percent=80)
+    """One document of each group stays: five-word shingles, similarity 0.8 or more.
+
+    A near copy has lost the passages it shares by now, so whole texts are compared as well.
+    """
+    return near_dedup.without_near_duplicates(docs, width=5, percent=80, before=table(spark, sf_dir, "documents"))
 
 
 def benchmark_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -200,3 +200,51 @@ def test_pipeline_stages(spark, tmp_path):
     assert passage in left[12] and passage not in left[13]
     final = {r.doc_id: r.n_tokens for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert set(final) == set(left) and final[40] == 0
+
+
+def brute_passages(rows, width):
+    """Words left of every text when each window that stands earlier goes."""
+    first, out = {}, {}
+    for i, text in sorted(rows):
+        own = text.split()
+        gone = set()
+        for a in range(len(own) - width + 1):
+            place = first.setdefault(tuple(own[a : a + width]), (i, a))
+            if place[0] != i or a >= place[1] + width:
+                gone.update(range(a, a + width))
+        out[i] = [w for n, w in enumerate(own) if n not in gone]
+    return out
+
+
+@pytest.mark.parametrize("width", [1, 8, 50])
+def test_repeated_passages_inside_lines(spark, width):
+    rnd = random.Random(width)
+    passages = [words(rnd, width + rnd.randrange(-1, 2 * width + 2)) for _ in range(6)]
+    rows = []
+    for i in range(50):
+        own = []
+        for _ in range(rnd.randrange(0, 4)):
+            own += words(rnd, rnd.randrange(0, 30), 10**9)
+            passage = rnd.choice(passages)
+            own += passage[rnd.randrange(0, 3) : len(passage) - rnd.randrange(0, 3)]
+        rows.append((i, "".join(w + rnd.choice([" ", " ", " ", "  ", "\t", "\n"]) for w in own)))
+    rows += [(60, "z " * 3 * width), (61, rows[5][1].replace("\n", " ")), (62, "")]
+    docs = frame(spark, rows)
+    got = {r.doc_id: r for r in line_dedup.without_repeated_lines(docs, width, width).collect()}
+    wanted = brute_passages(rows, width)
+    assert {i: r.text.split() for i, r in got.items()} == wanted
+    assert any(0 < len(wanted[i]) < len(t.split()) for i, t in rows)
+    assert all(r.n_chars == len(r.text) for r in got.values())
+
+
+def test_a_passage_that_starts_and_ends_inside_lines(spark):
+    rnd = random.Random(11)
+    passage = words(rnd, 61)
+    rows = [
+        (1, "  one two " + " ".join(passage[:30]) + "\n" + " ".join(passage[30:]) + " three \n\nfour"),
+        (2, "  five\tsix " + " ".join(passage[:20]) + "\n" + " ".join(passage[20:]) + " seven  \n\neight"),
+        (3, "nine " + " ".join(passage) + "  ten\n" + " ".join(passage)),
+        (4, " ".join(passage[:49])),
+    ]
+    got = {r.doc_id: r.text for r in line_dedup.without_repeated_lines(frame(spark, rows)).collect()}
+    assert got == {1: rows[0][1], 2: "  five\tsix\nseven  \n\neight", 3: "nine ten", 4: rows[3][1]}

@@ -1,29 +1,42 @@
-"""Repeated runs of lines, found by winnowing and deleted but for their first place.
-
-A run is a stretch of consecutive lines with at least ``run_words`` words. The smallest runs
-that reach this size, forwards from a line or backwards from it, are the windows: each picks
-the line with its smallest hash as fingerprint. Two equal runs hold equal windows, so they
-share a fingerprint; and every line of a longer repeated run lies in a window inside it,
-forwards or backwards, so that the windows around shared fingerprints extend a match to both
-sides as far as it goes. What results is exact: a line goes if and only if it lies in a run
-that stands, complete, in an earlier place.
+"""Repeated passages, found by winnowing and deleted but for their first place.
+
+A passage is a stretch of at least ``passage_words`` words; it may start and end inside a line.
+Its windows of exactly that many words each pick, as fingerprint, the smallest hash of the
+seeds (half as many words) inside them. Equal windows share their fingerprint, so only the
+windows around fingerprints that occur twice are candidates; these are grouped by 128 bits of
+their words. Overlapping repeated windows make up a passage as far as it goes to both sides.
+What results is exact up to those hashes: a word goes if and only if it lies in a passage that
+stands, complete, in an earlier place.
+
+With ``run_words`` below ``passage_words``, runs of whole lines of at least ``run_words`` words
+go as well. The smallest runs that reach this size, forwards from a line or backwards from it,
+are their windows, and the line with the smallest hash is the fingerprint.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import partial
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from wagelens.llm.tables import free_name, row_key
+from wagelens.session import staged
 
 RUN_WORDS = 50
+_BATCH_ROWS = 1 << 15
+# Odd, so that they have inverses modulo 2^64.
+_FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_WORD = re.compile(r"\S+")
+_SEEDS = "key binary, fingerprint bigint, places bigint"
+_PASSAGES = "key binary, doc_id bigint, start int, run bigint, run2 bigint"
 _WINDOWS = "key binary, doc_id bigint, first int, last int, spot int, fingerprint bigint, run binary"
 
 
@@ -110,54 +123,189 @@ def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     )
 
 
-@F.pandas_udf(StringType())
-def _cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
-    out = []
-    for text, cuts in zip(texts, spans):
-        if text is None or cuts is None or len(cuts) == 0:
-            out.append(text)
+def _word_hashes(words: list[str]) -> np.ndarray:
+    """128 bits a word, in two columns."""
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), dtype="<u8").reshape(-1, 2)
+
+
+def _rolling(hashes: np.ndarray, width: int, factor: int) -> np.ndarray:
+    """Hashes of all stretches of ``width`` words: polynomials in ``factor`` modulo 2^64."""
+    powers = np.full(len(hashes), factor, dtype=np.uint64).cumprod()
+    sums = np.concatenate([np.zeros(1, np.uint64), (hashes * powers).cumsum()])
+    count = len(hashes) - width + 1
+    return (sums[width:] - sums[:-width]) * np.full(count, pow(factor, -1, 1 << 64), dtype=np.uint64).cumprod()
+
+
+def _fingerprints(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all seeds, and for every window of ``width`` words its fingerprint's place."""
+    seed = (width + 1) // 2
+    seeds = _rolling(hashes[:, 0], seed, _FACTORS[0])
+    # Mixed, for a polynomial's order says something about its words.
+    seeds = (seeds ^ (seeds >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    seeds ^= seeds >> np.uint64(29)
+    spots, reach, wanted = np.arange(len(seeds)), 1, width - seed + 1
+    while reach < wanted:
+        step = min(reach, wanted - reach)
+        left, right = spots[:-step], spots[step:]
+        spots = np.where(seeds[left] <= seeds[right], left, right)
+        reach += step
+    return seeds.view(np.int64), spots
+
+
+def _batched(tables: Iterator[list[pa.Array]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Rows of many small tables in batches of about ``_BATCH_ROWS``."""
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for arrays in tables:
+        whole = pa.RecordBatch.from_arrays(arrays, schema=schema)
+        for at in range(0, whole.num_rows, _BATCH_ROWS):
+            held.append(whole.slice(at, _BATCH_ROWS))
+            rows += held[-1].num_rows
+            if rows >= _BATCH_ROWS:
+                yield from pa.Table.from_batches(held, schema).combine_chunks().to_batches()
+                held, rows = [], 0
+    if held:
+        yield from pa.Table.from_batches(held, schema).combine_chunks().to_batches()
+
+
+def _seed_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("key", pa.binary()), ("fingerprint", pa.int64()), ("places", pa.int64())])
+
+    def tables() -> Iterator[list[pa.Array]]:
+        for batch in batches:
+            for key, text in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                words = (text or "").split()
+                if len(words) >= width:
+                    seeds, spots = _fingerprints(_word_hashes(words), width)
+                    values, places = np.unique(seeds[np.unique(spots)], return_counts=True)
+                    yield [pa.repeat(pa.scalar(key, pa.binary()), len(values)), pa.array(values), pa.array(places, pa.int64())]
+
+    return _batched(tables(), schema)
+
+
+def _passage_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([
+        ("key", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int32()), ("run", pa.int64()), ("run2", pa.int64())
+    ])
+
+    def tables() -> Iterator[list[pa.Array]]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                key, doc_id, text = (batch.column(i)[row] for i in range(3))
+                shared = batch.column(3)[row].values.to_numpy(zero_copy_only=False)
+                hashes = _word_hashes(text.as_py().split())
+                seeds, spots = _fingerprints(hashes, width)
+                starts = np.flatnonzero(np.isin(seeds, shared)[spots])
+                runs = (_rolling(hashes[:, i], width, _FACTORS[i])[starts].view(np.int64) for i in range(2))
+                yield [
+                    pa.repeat(key, len(starts)), pa.repeat(doc_id, len(starts)), pa.array(starts, pa.int32()),
+                    *map(pa.array, runs),
+                ]
+
+    return _batched(tables(), schema)
+
+
+def repeated_passages(docs: DataFrame, passage_words: int = RUN_WORDS) -> DataFrame:
+    """``key, start``: windows of ``passage_words`` words, by the first word's number in the
+    text, that an earlier place holds already.
+
+    Places are ordered and repeated rows count as in ``repeated_runs``.
+    """
+    key = row_key(F.col("doc_id"), F.col("text")).alias("key")
+    rows = docs.select(key, "text")
+    seeds = staged(rows.mapInArrow(partial(_seed_rows, width=passage_words), _SEEDS), "passage_seeds")
+    shared = seeds.groupBy("fingerprint").agg(F.sum("places").alias("n")).where("n > 1").select("fingerprint")
+    mine = seeds.join(shared, "fingerprint").groupBy("key").agg(F.collect_set("fingerprint").alias("shared"))
+    texts = docs.select(key, F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(mine, "key")
+    candidates = staged(texts.select("key", "doc_id", "text", "shared").mapInArrow(
+        partial(_passage_rows, width=passage_words), _PASSAGES
+    ), "passages")
+    place = F.struct("doc_id", "key", "start")
+    origin = candidates.groupBy("run", "run2").agg(F.min(place).alias("origin"), F.max(place).alias("other"))
+    same_row = F.col("key") == F.col("origin.key")
+    return (
+        candidates.join(origin.where("origin != other").drop("other"), ["run", "run2"])
+        .where(~same_row | (F.col("start") >= F.col("origin.start") + passage_words))
+        .select("key", "start")
+    )
+
+
+def _left(text: str, runs: list, starts: list, width: int) -> str:
+    """``text`` without the lines of ``runs`` and the windows of ``width`` words at ``starts``."""
+    lines = text.split("\n")
+    counts = [len(line.split()) for line in lines]
+    ends = np.cumsum([0, *counts])
+    gone = np.zeros(ends[-1], dtype=bool)
+    for first, last in runs:
+        gone[ends[first] : ends[last + 1]] = True
+    for start in starts:
+        gone[start : start + width] = True
+    kept, before = [], False
+    for line, count, end in zip(lines, counts, ends[1:].tolist()):
+        flags = gone[end - count : end]
+        cut = int(flags.sum())
+        # An empty line goes with the line before it.
+        before = cut == count if count and cut else before and not count
+        if before:
             continue
-        lines = text.split("\n")
-        gone = bytearray(len(lines) + 1)
-        for first, last in cuts:
-            gone[first : last + 1] = b"\1" * (last + 1 - first)
-        kept, before = [], False
-        for line, cut in zip(lines, gone):
-            # An empty line goes with the line before it.
-            before = bool(cut) or (before and not line.strip())
-            if not before:
-                kept.append(line)
-        out.append("\n".join(kept))
-    return pd.Series(out, dtype=object)
-
-
-def without_repeated_lines(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """``docs`` with later repeated runs of lines cut out of ``text``; ``n_chars`` follows.
-
-    Lines are compared by their words. Rows, their order of columns and extra columns stay;
-    a null text stays null, and a text whose every line is repeated becomes empty.
+        if cut:
+            pieces, last = [], -2
+            spans = [m.span() for m in _WORD.finditer(line)]
+            for i in np.flatnonzero(~flags).tolist():
+                if i == last + 1:
+                    pieces[-1][1] = spans[i][1]
+                else:
+                    pieces.append([spans[i][0] if i else 0, spans[i][1]])
+                last = i
+            if last == count - 1:
+                pieces[-1][1] = len(line)
+            line = " ".join(line[a:b] for a, b in pieces)
+        kept.append(line)
+    return "\n".join(kept)
+
+
+def _cut(width: int) -> Callable[..., Column]:
+    @F.pandas_udf(StringType())
+    def cut(texts: pd.Series, runs: pd.Series, starts: pd.Series) -> pd.Series:
+        rows = zip(texts, runs, starts)
+        return pd.Series([t if t is None else _left(t, r, s, width) for t, r, s in rows], dtype=object)
+
+    return cut
+
+
+def without_repeated_lines(docs: DataFrame, run_words: int = RUN_WORDS, passage_words: int = RUN_WORDS) -> DataFrame:
+    """``docs`` with later repeated passages and runs of lines cut out of ``text``; ``n_chars`` follows.
+
+    Texts are compared by their words. A line of which words are left keeps these, with one
+    space where others stood between; other lines stay as they are or go. Rows, their order of
+    columns and extra columns stay; a null text stays null, and a text whose every word is
+    repeated becomes empty.
     """
-    key, spans = free_name(docs.columns, "row_key"), free_name(docs.columns, "repeated_spans")
-    cuts = (
-        repeated_runs(docs, run_words).distinct()
-        .groupBy(F.col("key").alias(key)).agg(F.collect_list(F.array("first", "last")).alias(spans))
+    key = free_name(docs.columns, "row_key")
+    runs, starts = free_name(docs.columns, "repeated_runs"), free_name(docs.columns, "repeated_starts")
+    span = F.array("first", "last")
+    found = repeated_passages(docs, passage_words).select("key", F.lit(None).cast("array<int>").alias("span"), "start")
+    if run_words < passage_words:  # else passages hold them all
+        found = found.union(repeated_runs(docs, run_words).select("key", span, F.lit(None).cast("int")))
+    cuts = found.groupBy(F.col("key").alias(key)).agg(
+        F.collect_set("span").alias(runs), F.collect_set("start").alias(starts)
     )
     keyed = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
     joined = keyed.join(cuts, key, "left")
-    affected = F.when(F.col(spans).isNotNull(), F.col("text"))
-    cut = joined.withColumn("text", F.coalesce(_cut(affected, F.col(spans)), F.col("text")))
+    affected = F.when(F.col(runs).isNotNull(), F.col("text"))
+    cut = joined.withColumn("text", F.coalesce(_cut(passage_words)(affected, F.col(runs), F.col(starts)), F.col("text")))
     if "n_chars" in docs.columns:
         cut = cut.withColumn(
-            "n_chars", F.when(F.col(spans).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint"))
+            "n_chars", F.when(F.col(runs).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("bigint"))
         )
     return cut.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
-def unrepeated_documents(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """As above, without the documents that had words and of which no line is left."""
+def unrepeated_documents(docs: DataFrame, run_words: int = RUN_WORDS, passage_words: int = RUN_WORDS) -> DataFrame:
+    """As above, without the documents that had words and of which none is left."""
     key = free_name(docs.columns, "had_words")
     marked = docs.withColumn(key, F.coalesce(F.col("text").rlike(r"\S"), F.lit(False)))
-    cut = without_repeated_lines(marked, run_words)
+    cut = without_repeated_lines(marked, run_words, passage_words)
     return cut.where(~F.col(key) | F.col("text").rlike(r"\S")).drop(key)
 
 

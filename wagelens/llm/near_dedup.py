@@ -265,8 +265,19 @@ def _joined(merged: DataFrame, links: DataFrame) -> DataFrame:
     return known.union(above.select("node", "component")).groupBy("node").agg(F.min("component").alias("component"))
 
 
-def without_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` with one document, that of the smallest doc_id, of each group; columns stay."""
-    found = near_duplicates(docs.select("doc_id", "text"), width, percent)
+def without_near_duplicates(
+    docs: DataFrame, width: int = 5, percent: int = 80, before: DataFrame | None = None
+) -> DataFrame:
+    """``docs`` with one document, that of the smallest doc_id, of each group; columns stay.
+
+    With ``before``, the rows as they were before passages were cut out of them, near copies
+    of which only a rest is left are found by their whole texts as well.
+    """
+    texts = docs.select("doc_id", "text")
+    if before is not None:
+        now = texts.groupBy("doc_id").agg(F.collect_set(F.xxhash64("text")).alias("now"))
+        changed = ~F.array_contains("now", F.xxhash64("text"))
+        texts = texts.union(before.select("doc_id", "text").join(now, "doc_id").where(changed).select("doc_id", "text"))
+    found = near_duplicates(texts, width, percent)
     gone = found.where(~F.col("kept")).select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
