@@ -248,3 +248,35 @@ def test_a_passage_that_starts_and_ends_inside_lines(spark):
     ]
     got = {r.doc_id: r.text for r in line_dedup.without_repeated_lines(frame(spark, rows)).collect()}
     assert got == {1: rows[0][1], 2: "  five\tsix\nseven  \n\neight", 3: "nine ten", 4: rows[3][1]}
+
+
+def brute_windows(rows, items):
+    """Every start of an item-sized window with a similarity of 0.8, without seeds."""
+    def shingles(text):
+        w = text.lower().split()
+        return [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+
+    found = defaultdict(int)
+    for i, text in rows:
+        own = shingles(text)
+        for j, item in ((j, shingles(t)) for j, t in items):
+            for at in range(len(own)):
+                window = own[at : at + len(item)]
+                both = sum(min(window.count(x), item.count(x)) for x in set(item) & set(window))
+                found[i, j] += both / (len(window) + len(item) - both) >= 0.8
+    return {pair: n for pair, n in found.items() if n}
+
+
+def test_windows_at_every_start(spark):
+    rnd = random.Random(13)
+    items = [(j, " ".join(words(rnd, n))) for j, n in enumerate([54, 60, 104])]
+    own = [t.split() for _, t in items]
+    rows = [(1, " ".join(own[0][1:] + words(rnd, 20))), (2, " ".join(own[0][3:])), (3, " ".join(words(rnd, 9) + own[1][2:]))]
+    # Four words missing among the first, four more in the middle; the item's halves exchanged.
+    rows.append((4, " ".join(words(rnd, 30) + own[2][:1] + own[2][5:60] + words(rnd, 4) + own[2][60:] + words(rnd, 30))))
+    rows.append((5, " ".join(words(rnd, 30) + own[2][50:] + own[2][:50] + words(rnd, 30))))
+    docs = frame(spark, [*rows, rows[0]])
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.n_windows for r in decontaminate.leaks(docs, benchmark).collect()}
+    assert got == brute_windows(rows, items)
+    assert {d for d, _ in got} == {1, 2, 3, 4, 5}

@@ -1,10 +1,10 @@
 """Benchmark passages inside documents, by SimHash of item-sized windows.
 
 Texts are lower-cased words of letters and digits; a shingle is five of them, weighted by how
-often it occurs. A window has as many shingles as an item and stands where one of the item's
-first shingles does, at that shingle's place: a stretch with a similarity of at least 0.8
-lacks at most a ninth of an item's shingles, so one of its first ninth, and one more, is
-there. Windows and items of one size are joined on the blocks of their SimHash: with more
+often it occurs. A window has as many shingles as an item, fewer at a text's end. All windows
+are taken that hold one of the item's seeds, its first fifth of shingles and one more: a
+stretch with a similarity of at least 0.8, even one cut short, lacks at most a fifth of an
+item's shingles, so a seed is there, wherever in the window. Windows and items of one size are joined on the blocks of their SimHash: with more
 blocks than the radius has bits, two fingerprints within the radius agree in a block. The
 exact weighted-shingle similarity decides.
 
@@ -14,7 +14,7 @@ Built-in functions only; nothing here runs Python on rows.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wagelens.llm.tables import bound, free_name, row_key
@@ -90,11 +90,10 @@ def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``key, doc_id, start, m, hashes``: the item-sized windows of all documents, each once."""
     size = F.size("item")
     seeds = items.select(
-        size.alias("m"), F.posexplode(F.slice("item", 1, F.floor(size / 9).cast("int") + 1)).alias("q", "h")
+        size.alias("m"), F.explode(F.slice("item", 1, F.floor(size / 5).cast("int") + 1)).alias("h")
     ).distinct()
     seeds = staged(seeds, "benchmark_seeds")
-    bounds = seeds.agg(F.max("m").alias("m"), F.max("q").alias("q")).first()
-    longest, before = bounds.m or 0, bounds.q or 0
+    longest = seeds.agg(F.max("m")).first()[0] or 1
     bitmap = _bitmap(seeds.select("h"))
 
     def present(h: Column) -> Column:
@@ -111,16 +110,19 @@ def _windows(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.transform("all", lambda h, i: F.when(present(h), i)), lambda i: i.isNotNull()
     )
     found = hashed.select("key", "doc_id", "all", F.explode_outer(places).alias("place")).where("place IS NOT NULL")
-    low = F.greatest(F.col("place") - before, F.lit(0))
+    low = F.greatest(F.col("place") - (longest - 1), F.lit(0))
     around = found.select(
         "key", "doc_id", "place", low.alias("low"), F.get("all", "place").alias("h"),
-        F.slice("all", low + 1, F.lit(longest + before + 1)).alias("near"),
+        F.slice("all", low + 1, F.col("place") - low + longest).alias("near"),
     )
-    start = F.col("place") - F.col("q")
+    # A window belongs to the first seed it holds, so it starts after the seed before that one.
+    earlier = F.lag("place").over(Window.partitionBy("key", "m").orderBy("place"))
+    first = F.greatest(F.col("place") - F.col("m") + 1, F.lit(0), earlier + 1)
+    # Rows that repeat a whole row stand at the same places and start nothing.
+    owned = around.join(seeds, "h").withColumn("first", first).where("first <= place")
     return (
-        around.join(seeds, "h").where(start >= 0)
-        .select("key", "doc_id", start.alias("start"), "m", F.slice("near", start - F.col("low") + 1, F.col("m")).alias("hashes"))
-        .distinct()
+        owned.withColumn("start", F.explode(F.sequence("first", "place")))
+        .select("key", "doc_id", "start", "m", F.slice("near", F.col("start") - F.col("low") + 1, F.col("m")).alias("hashes"))
     )
 
 
