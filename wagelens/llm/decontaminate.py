@@ -6,7 +6,8 @@ are taken that hold one of the item's seeds, its first fifth of shingles and one
 stretch with a similarity of at least 0.8, even one cut short, lacks at most a fifth of an
 item's shingles, so a seed is there, wherever in the window. Windows and items of one size are joined on the blocks of their SimHash: with more
 blocks than the radius has bits, two fingerprints within the radius agree in a block. The
-exact weighted-shingle similarity decides.
+exact weighted-shingle similarity decides. The radius itself loses some: about 2.6 in 10,000
+windows at a similarity of exactly 0.8, more where shingles with heavy weights differ.
 
 Built-in functions only; nothing here runs Python on rows.
 """
