@@ -8,12 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from wagelens.llm import (
-    decontaminate, licenses, line_dedup, near_dedup, search, sharding, token_store, tokenize, toxicity, urls,
+    alignment, decontaminate, licenses, line_dedup, near_dedup, search, sharding, token_counts, token_store, tokenize,
+    toxicity, urls,
 )
 from wagelens.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = "word_bpe_49k.json"
+BYTE_LEVEL = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -44,6 +47,12 @@ def all_queries() -> dict[str, Query]:
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
         ),
         "op10_bpe": lambda spark, sf_dir: tokenize.digests(table(spark, sf_dir, "documents"), vocabulary_path()),
+        "op12_alignment": lambda spark, sf_dir: alignment.aligned_documents(
+            table(spark, sf_dir, "documents"), vocabulary_path(BYTE_LEVEL), vocabulary_path(PIECES)
+        ),
+        "op13_token_counts": lambda spark, sf_dir: token_counts.counted_documents(
+            table(spark, sf_dir, "documents"), vocabulary_path(PIECES)
+        ),
         "pipeline": corpus_pipeline.run,
     }
 
