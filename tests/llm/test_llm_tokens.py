@@ -48,7 +48,8 @@ def test_counts_equal_the_library(name):
     texts = ODD + texts_of(1500, 3)
     frequent = token_counts.frequent_counts(texts[:200], vocabulary_path(name), 300)
     assert len(frequent) <= 300
-    wanted = [library_counts(name)(t or "") for t in texts]
+    count = library_counts(name)
+    wanted = [count(t or "") for t in texts]
     assert list(token_counts.Counts(cut, frequent).of(texts)) == wanted
     assert list(token_counts.Counts(cut, {}, memory=5).of(texts)) == wanted
 
