@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from wagelens.llm import (
-    alignment, decontaminate, licenses, line_dedup, near_dedup, search, sharding, token_counts, token_store, tokenize,
-    toxicity, urls,
+    alignment, conversations, decontaminate, licenses, line_dedup, near_dedup, search, sharding, token_counts, token_store,
+    tokenize, toxicity, urls,
 )
 from wagelens.llm.tables import table
 
@@ -47,6 +47,9 @@ def all_queries() -> dict[str, Query]:
             table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
         ),
         "op10_bpe": lambda spark, sf_dir: tokenize.digests(table(spark, sf_dir, "documents"), vocabulary_path()),
+        "op11_conversations": lambda spark, sf_dir: conversations.damaged_and_repaired(
+            table(spark, sf_dir, "conversations")
+        ),
         "op12_alignment": lambda spark, sf_dir: alignment.aligned_documents(
             table(spark, sf_dir, "documents"), vocabulary_path(BYTE_LEVEL), vocabulary_path(PIECES)
         ),
