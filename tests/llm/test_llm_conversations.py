@@ -211,3 +211,16 @@ def test_a_very_long_text_is_a_segment_of_its_own(spark):
     rows = [(1, 0, "user", "x" * 5_000_000 + "."), (1, 1, "assistant", "Yes."), (2, 0, "user", "a."), (2, 1, "assistant", "b.")]
     got = c.repaired(frame(spark, rows)).digests().collect()
     assert sorted(map(tuple, got), key=repr) == expected(rows, damaged=False)
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_the_sql_counterpart_equals_a_plain_walk(seed):
+    import duckdb
+
+    from wagelens.llm.queries import CONVERSATIONS_SQL
+
+    rows = random_rows(seed, 20, 9)
+    db = duckdb.connect()
+    db.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    db.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    assert sorted(db.execute(CONVERSATIONS_SQL).fetchall(), key=repr) == expected(rows)
