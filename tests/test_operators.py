@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wagelens.operators import checks, latest, positions, quantiles, summaries
+from wagelens.operators import checks, constraints, latest, positions, quantiles, summaries
 
 FRACTIONS = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
 
@@ -190,3 +190,69 @@ def test_schema_differences(spark):
     df = spark.createDataFrame([(1, "x")], "a int, b string")
     expected = T.StructType.fromDDL("a bigint, c string")
     assert checks.schema_differences(df, expected) == ["missing c", "unexpected b", "a is int, not bigint"]
+
+
+@pytest.mark.parametrize("keys", [[], ["key"]])
+def test_wide_integers_are_exact_whatever_their_spread(spark, keys):
+    rng = np.random.default_rng(17)
+    values = np.concatenate([
+        rng.integers(-(2**62), 2**62, 700), rng.integers(0, 50, 900), np.full(400, 7), [2**63 - 1, -(2**63)],
+        np.int64(2**55) + rng.integers(0, 3000, 500),
+    ]).astype(np.int64)
+    rows = [(int(i % 3), int(v)) for i, v in enumerate(values)] + [(0, None), (9, None)]
+    df = spark.createDataFrame(rows, "key int, value bigint")
+    got = quantiles.ranked_quantiles(df, keys, "value", FRACTIONS, "n").collect()
+    for row in got:
+        own = sorted(v for k, v in rows if v is not None and (not keys or k == row["key"]))
+        assert row["n"] == len(own)
+        for name, f in FRACTIONS.items():
+            low = int(np.floor(f * (len(own) - 1)))
+            a, b = float(own[low]), float(own[min(low + 1, len(own) - 1)])
+            assert row[name] == a + (b - a) * (f * (len(own) - 1) - low)
+    assert len(got) == (3 if keys else 1)
+
+
+def test_a_sketch_that_errs_changes_nothing_but_the_work(spark, monkeypatch):
+    values = [int(v) for v in np.random.default_rng(3).integers(0, 2**60, 3000)]
+    df = spark.createDataFrame([(v,) for v in values], "value bigint")
+    wanted = quantiles.ranked_quantiles(df, [], "value", FRACTIONS, "n").first()
+    monkeypatch.setattr(quantiles, "_BRACKET", 0.0)
+    monkeypatch.setattr(quantiles, "_SKETCH_ALONE", 8)
+    assert quantiles.ranked_quantiles(df, [], "value", FRACTIONS, "n").first() == wanted
+
+
+def test_wide_integers_are_read_without_a_staged_step(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "staged", lambda *_: pytest.fail("staged"))
+    df = spark.createDataFrame([(2**40,), (None,)], "value bigint")
+    assert quantiles.ranked_quantiles(df, [], "value", {"m": 0.5}, "n").first() == (float(2**40), 1)
+    empty = quantiles.ranked_quantiles(df.where("value < 0"), [], "value", {"m": 0.5}, "n").first()
+    assert tuple(empty) == (None, 0)
+
+
+def test_differences_are_one_shuffle_and_keep_copies(spark, monkeypatch):
+    monkeypatch.setattr(checks, "_COPIES", 3)
+    left = spark.createDataFrame([(1, "a", 0.1)] * 9 + [(2, None, None)] + [(3, "c", float("nan"))], "k int, t string, d double")
+    right = spark.createDataFrame([(1, "a", 0.1 + 1e-9)] * 2 + [(2, None, None)] * 5 + [(3, "c", float("nan"))], "k int, t string, d double")
+    found = checks.differing_rows(left, right)
+    assert sorted((r.k, r.side) for r in found.collect()) == [(1, "left")] * 7 + [(2, "right")] * 4
+    plan = checks.differing_rows(left, right)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert checks.differing_rows(left, left).count() == 0
+
+
+def test_constraints_find_what_breaks_them(spark):
+    child = spark.createDataFrame([(1, 10), (1, 10), (2, 77), (3, None), (4, 77)], "id int, parent_id int")
+    parent = spark.createDataFrame([(10, "x"), (11, "x")], "parent_id int, name string")
+    rules = [
+        *constraints.not_null("child", ["id", "parent_id"]),
+        constraints.Constraint(constraints.UNIQUE, "child", ("id",)),
+        constraints.Constraint(constraints.UNIQUE, "parent", ("name",)),
+        constraints.Constraint(constraints.REFERENCE, "child", ("parent_id",), "parent"),
+    ]
+    got = {(r.rule, r.table, r.columns): (r.n_keys, r.n_rows)
+           for r in constraints.broken_constraints({"child": child, "parent": parent}, rules).collect()}
+    assert got == {
+        ("not null", "child", "id"): (0, 0), ("not null", "child", "parent_id"): (1, 1),
+        ("unique", "child", "id"): (1, 2), ("unique", "parent", "name"): (1, 2),
+        ("reference", "child", "parent_id"): (1, 2),
+    }

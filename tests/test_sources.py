@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,10 +7,11 @@ from pyspark.sql import functions as F
 from wagelens import fixed
 from wagelens.plans import clean as cleaning
 from wagelens.plans import questions
+from wagelens.plans import build as build_module
 from wagelens.plans.build import build
 from wagelens.plans.star import open_star
 from wagelens.sources import filings as sources
-from wagelens.sources import sinks
+from wagelens.sources import sinks, versions
 
 
 @pytest.fixture
@@ -173,3 +175,154 @@ def test_database_load_empties_children_first_and_fills_parents_first(monkeypatc
         ("clear", "filings"), ("clear", "titles"),
         ("append", "titles", "10000", "u"), ("append", "filings", "10000", "u"),
     ]
+
+
+# ---- replacing -------------------------------------------------------------------
+
+
+def failing(spark):
+    """Rows of which one cannot be made, so that a task of the write fails."""
+    return spark.range(20).selectExpr("if(id = 13, raise_error('lost'), id) AS id")
+
+
+@pytest.mark.parametrize("write", [sinks.write_cache, lambda df, path: sinks.write_curated(df.withColumn("fiscal_year", F.lit(2025)), path)])
+def test_an_overwrite_that_fails_leaves_the_old_rows(spark, tmp_path, write):
+    path = str(tmp_path / "t")
+    write(spark.range(5), path)
+    with pytest.raises(Exception, match="lost"):
+        write(failing(spark), path)
+    assert versions.read_table(spark, path).count() == 5
+    assert len([p for p in (tmp_path / "t").iterdir() if p.name.startswith("v-")]) == 1
+    write(spark.range(7), path)
+    assert versions.read_table(spark, path).count() == 7
+
+
+@pytest.mark.parametrize("step", ["publish", "retire"])
+def test_a_stop_between_two_steps_leaves_whole_rows(spark, tmp_path, monkeypatch, step):
+    path = str(tmp_path / "t")
+    sinks.write_cache(spark.range(5), path)
+
+    def stop(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as patch:
+        patch.setattr(versions, step, stop)
+        with pytest.raises(KeyboardInterrupt):
+            sinks.write_cache(spark.range(9), path)
+    assert versions.read_table(spark, path).count() == (5 if step == "publish" else 9)
+
+
+def test_old_versions_go_and_open_readers_keep_theirs(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.write_cache(spark.range(1), path)
+    opened = versions.read_table(spark, path)
+    sinks.write_cache(spark.range(2), path)
+    assert opened.count() == 1
+    for n in (3, 4):
+        sinks.write_cache(spark.range(n), path)
+    assert versions.read_table(spark, path).count() == 4
+    assert len(list((tmp_path / "t").glob("v-*"))) == versions.KEEP == len(versions.published(spark, path))
+
+
+def test_folders_of_killed_writers_go_by_age(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.write_cache(spark.range(3), path)
+    for name in ("v-dead", "other", "_kept"):
+        (tmp_path / "t" / name).mkdir()
+    assert versions.retire(spark, path) == []
+    assert versions.retire(spark, path, orphan_hours=-1) == ["v-dead"]
+    assert (tmp_path / "t" / "other").exists() and versions.read_table(spark, path).count() == 3
+
+
+def test_a_plain_folder_comes_back_after_a_stop(spark, tmp_path, monkeypatch):
+    path, fresh = str(tmp_path / "t"), str(tmp_path / "fresh")
+    spark.range(5).write.parquet(path)
+    with pytest.raises(OSError):
+        sinks.replace(spark, fresh, path)
+    assert spark.read.parquet(path).count() == 5
+    # As a driver leaves it that dies between the two moves.
+    (tmp_path / "t").rename(tmp_path / f".t{sinks._ASIDE}00000000000000000001")
+    assert sinks.recover(spark, path) and not sinks.recover(spark, path)
+    assert spark.read.parquet(path).count() == 5
+    spark.range(8).write.parquet(fresh)
+    sinks.replace(spark, fresh, path)
+    assert spark.read.parquet(path).count() == 8
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_a_table_without_a_version_is_an_error(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        versions.current_version(spark, str(tmp_path))
+    assert versions.current_path(spark, str(tmp_path)) == str(tmp_path)
+
+
+# ---- many sources ----------------------------------------------------------------
+
+
+def scans(df):
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    return len(re.findall(r"\n\(\d+\) Scan parquet", df._jdf.queryExecution().explainString(mode)))
+
+
+def test_sources_of_one_schema_are_one_scan(spark, filings, tmp_path):
+    plain = filings({"DECISION_DATE": dt.date(2025, 1, 1)})
+    kinds = [
+        plain,
+        plain.withColumn("LAWFIRM_BUSINESS_FEIN", F.lit("x")),
+        plain.withColumn("PREVAILING_WAGE", F.col("PREVAILING_WAGE").cast("string")),
+    ]
+    for i in range(24):
+        rows = kinds[i % 3].withColumn("JOB_TITLE", F.lit(f"t{i:02d}")).coalesce(1)
+        # Versioned folders, plain folders with odd names, and single files.
+        if i % 2:
+            sinks.write_cache(rows, str(tmp_path / f"LCA_{i:02d}.parquet"))
+        else:
+            rows.write.parquet(str(tmp_path / f"LCA_{i:02d} é+%41.parquet"))
+    raw = sources.load_filings(spark, str(tmp_path), columns=["JOB_TITLE", "PREVAILING_WAGE"])
+    assert scans(raw) <= 3 and raw.count() == 24
+    order = [r.JOB_TITLE for r in raw.orderBy("_position").collect()]
+    assert order == [f"t{i:02d}" for i in range(24)]
+    assert [r.JOB_TITLE for r in cleaning.latest_filings(raw).collect()] == ["t23"]
+    inventory = sources.source_inventory(spark, sources.find_sources(spark, str(tmp_path)))
+    got = [(r.source[:6], r.n_rows, r.n_columns, r.added) for r in inventory.collect()]
+    assert got == [(f"LCA_{i:02d}", 1, 18 if i % 3 == 1 else 17, "LAWFIRM_BUSINESS_FEIN" if i % 3 == 1 else "") for i in range(24)]
+
+
+def test_single_files_are_told_apart(spark, filings, tmp_path):
+    for i in range(3):
+        filings({"JOB_TITLE": f"t{i}"}).coalesce(1).write.parquet(str(tmp_path / f"w{i}"))
+        (part,) = (tmp_path / f"w{i}").glob("part-*.parquet")
+        part.rename(tmp_path / f"LCA_{i}.parquet")
+    raw = sources.load_filings(spark, str(tmp_path))
+    assert scans(raw) == 1
+    assert {(r.JOB_TITLE, r._position.source) for r in raw.collect()} == {("t0", 0), ("t1", 1), ("t2", 2)}
+
+
+def test_part_files_of_a_source_may_drift(spark, filings, tmp_path):
+    path = str(tmp_path / "LCA_1.parquet")
+    filings({"JOB_TITLE": "old"}).drop("PW_UNIT_OF_PAY").write.parquet(path)
+    filings({"JOB_TITLE": "new"}).write.mode("append").parquet(path)
+    raw = sources.load_filings(spark, str(tmp_path))
+    assert {(r.JOB_TITLE, r.PW_UNIT_OF_PAY) for r in raw.collect()} == {("old", None), ("new", "Year")}
+
+
+def test_a_build_reads_and_deduplicates_its_sources_once(spark, quarters, tmp_path, monkeypatch):
+    calls = []
+    original = build_module.counted_latest
+    monkeypatch.setattr(build_module, "counted_latest", lambda raw: calls.append(scans(raw)) or original(raw))
+    monkeypatch.setattr(cleaning, "latest_filings", lambda *_: pytest.fail("deduplicated again"))
+    root = str(tmp_path / "star")
+    _, stages = build(spark, quarters, root)
+    assert calls == [2] and (stages["rows read"], stages["duplicate cases"]) == (4, 1)
+    assert versions.read_table(spark, f"{root}/cleaned").count() == 3
+
+
+def test_counted_latest_is_the_latest(spark, filings):
+    case = {"CASE_NUMBER": "I-200-25001-000009"}
+    raw = filings(
+        {**case, "DECISION_DATE": dt.date(2025, 1, 1), "JOB_TITLE": "a"}, {**case, "DECISION_DATE": None, "JOB_TITLE": "b"},
+        {**case, "DECISION_DATE": dt.date(2026, 1, 1), "JOB_TITLE": "c"}, {"JOB_TITLE": "d"},
+    ).withColumn("_position", F.monotonically_increasing_id())
+    got = {(r.JOB_TITLE, r._filed) for r in cleaning.counted_latest(raw).collect()}
+    assert got == {("b", 3), ("d", 1)}
+    assert {r.JOB_TITLE for r in cleaning.latest_filings(raw).collect()} == {"b", "d"}

@@ -1,10 +1,13 @@
+import dataclasses
 import datetime as dt
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wagelens.operators import checks
+from wagelens.operators.topk import kept_by_count
 from wagelens.plans import clean as cleaning
 from wagelens.plans import questions as q
 from wagelens.plans import star as stars
@@ -251,19 +254,87 @@ def test_wrong_arguments_are_refused(asked, ask, error):
         ask(asked)
 
 
-def test_many_matching_titles_use_a_semi_join_with_the_same_answer(asked, monkeypatch):
-    wanted = values(q.salary_percentiles(asked, "data analyst")), values(q.title_search(asked, "c"))
-    monkeypatch.setattr(q, "_LITERAL_IDS", 0)
-    assert (values(q.salary_percentiles(asked, "data analyst")), values(q.title_search(asked, "c"))) == wanted
+QUESTIONS = [
+    lambda s: q.salary_percentiles(s, "data analyst"),
+    lambda s: q.salary_percentiles(s, "City", city="AUSTIN", state="tX", fiscal_year=2025),
+    lambda s: q.salary_percentiles(s, city="austin", include_outliers=True),
+    lambda s: q.wage_distribution(s, state="tx"),
+    lambda s: q.top_employers(s, "DATA analyst", limit=1),
+    lambda s: q.salary_by_city(s, "city", min_filings=1),
+    lambda s: q.salary_trend(s, "trend", city="austin"),
+    lambda s: q.title_search(s, "c"),
+    lambda s: q.title_search(s, ""),
+]
 
 
-def test_title_ids_and_year_reach_the_scan(asked):
-    df = q.salary_percentiles(asked, "Trend", fiscal_year=2025)
+def formatted(df):
     mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
-    plan = df._jdf.queryExecution().explainString(mode)
-    assert re.search(r"PushedFilters: .*(In|EqualTo)\(title_id", plan)
-    assert re.search(r"PartitionFilters: .*fiscal_year", plan)
-    assert "employer_id" not in plan
+    return df._jdf.queryExecution().explainString(mode)
+
+
+@pytest.mark.parametrize("ask", QUESTIONS)
+def test_a_star_without_stored_keys_answers_the_same(asked, ask):
+    bare = dataclasses.replace(asked, keyed=None, search=None)
+    assert values(ask(bare)) == values(ask(asked))
+
+
+@pytest.mark.parametrize("ask", QUESTIONS)
+def test_no_job_runs_while_a_question_is_planned(asked, spark, ask):
+    tracker, context = spark.sparkContext.statusTracker(), spark.sparkContext
+    context.setJobGroup("planning", "a question")
+    try:
+        ask(asked)
+        assert list(tracker.getJobIdsForGroup("planning")) == []
+    finally:
+        context.setJobGroup("tests", "")
+
+
+def test_title_and_year_reach_the_scan_and_no_lookup_is_read(asked):
+    plan = formatted(q.salary_percentiles(asked, "Trend", fiscal_year=2025))
+    assert re.search(r"PushedFilters: .*EqualTo\(title_key", plan)
+    partitions = re.search(r"PartitionFilters: .*", plan).group()
+    assert "fiscal_year" in partitions and "title_block" in partitions
+    assert len(re.findall(r"\n\(\d+\) Scan parquet", plan)) == 1
+    assert "Join" not in plan and "employer_id" not in plan
+
+
+def test_a_place_is_a_pushed_filter_too(asked):
+    plan = formatted(q.salary_percentiles(asked, city="Austin", state="TX"))
+    assert re.search(r"PushedFilters: .*EqualTo\(city_key.*EqualTo\(state_key", plan)
+    assert "Join" not in plan
+
+
+def test_a_prefix_is_a_pushed_range_of_the_counted_titles(asked):
+    plan = formatted(q.title_search(asked, "Da"))
+    assert "StringStartsWith(folded,da)" in plan
+    assert "title_counts" in plan and "filings" not in plan
+
+
+def test_a_title_prunes_folders(asked, build, monkeypatch):
+    monkeypatch.setattr(stars, "BLOCK_ROWS", 1)
+    star = build(*[{"JOB_TITLE": t, "WAGE_RATE_OF_PAY_FROM": 1e5} for t in ("Able", "able", "Baker", "Fox", "Dog", "Cat")])
+    assert star.block_bits == 3
+    for title, n in (("ABLE", 2), ("baker", 1), ("None", 0)):
+        assert values(q.salary_percentiles(star, title))[0][3] == n
+    assert star.keyed.select("title_block").distinct().count() > 1
+
+
+def test_folders_hold_a_bounded_number_of_filings():
+    assert [stars.block_bits(n) for n in (0, 1, stars.BLOCK_ROWS, stars.BLOCK_ROWS + 1, 10**13)] == [0, 0, 0, 1, 12]
+
+
+def test_names_join_only_what_reaches_the_cut(build):
+    star = build(*[{"EMPLOYER_NAME": e} for e in ("A", "A", "A", "B", "B", "C", "C", "D")])
+    assert [r[0] for r in values(q.top_employers(star, limit=2))] == ["A", "B"]
+    counted = star.filings.groupBy("employer_id").agg(F.count("*").alias("n"))
+    assert sorted(r.n for r in kept_by_count(counted, "n", 2).collect()) == [2, 2, 3]
+    assert kept_by_count(counted, "n", 0).count() == 0
+    assert kept_by_count(counted, "n", 99).count() == 4
+
+
+def test_a_limit_beyond_what_can_be_taken_is_refused(asked):
+    with pytest.raises(ValueError, match="limit"):
+        q.top_employers(asked, limit=2**31)
 
 
 def test_flags_in_the_view_equal_the_cleaned_table(build, filings):
@@ -285,3 +356,18 @@ def test_wages_wider_than_32_bits_are_kept(build):
 def test_missing_lookup_text_is_refused(build, column):
     with pytest.raises(stars.BrokenStar, match="nulls"):
         build({}, {column: None, "CASE_NUMBER": "I-200-25001-999999", "SOC_CODE": "15-2051.00"})
+
+
+def test_a_sound_star_breaks_no_constraint(golden):
+    rows = stars.broken_rules(golden).collect()
+    assert len(rows) == len(stars.CONSTRAINTS)
+    assert {(r.n_keys, r.n_rows) for r in rows} == {(0, 0)}
+
+
+def test_a_table_of_another_layout_is_refused(filings, tmp_path, monkeypatch):
+    stated = stars.SCHEMAS["titles"].replace("title_id bigint", "title_id int")
+    monkeypatch.setitem(stars.SCHEMAS, "titles", stated)
+    monkeypatch.setattr(stars, "_check", lambda star: None)
+    with pytest.raises(Exception, match="title_id"):
+        stars.build_star(cleaning.clean(filings({})), str(tmp_path))
+    assert not list(tmp_path.glob("run-*"))

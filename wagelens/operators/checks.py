@@ -52,36 +52,50 @@ def unknown_values(df: DataFrame, column: str, known: Sequence[str]) -> DataFram
     return df.filter(~known_or_null).groupBy(column).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+# Copies of a row are written out in blocks, so that no array grows with their number.
+_COPIES = 65_536
+
+
 def differing_rows(left: DataFrame, right: DataFrame, digits: int = 6) -> DataFrame:
-    """Rows of one table the other lacks, doubles compared to ``digits`` places."""
+    """Rows of one table the other lacks, doubles compared to ``digits`` places.
+
+    Rows of the left count +1, of the right -1, and equal rows are summed up: one shuffle, with
+    a partial sum before it. The sign of a sum tells the side, its size how often the row
+    comes out.
+    """
     if sorted(left.columns) != sorted(right.columns):
         raise ValueError(f"columns differ: {left.columns} and {right.columns}")
 
-    def rounded(df: DataFrame) -> DataFrame:
+    def signed(df: DataFrame, sign: int) -> DataFrame:
         fractional = {f.name for f in df.schema if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
         return df.select(
             *[
                 (F.round(F.col(c), digits) if c in fractional else F.col(c)).alias(c)
                 for c in left.columns
-            ]
+            ],
+            F.lit(sign).alias("__sign"),
         )
 
-    ours, theirs = rounded(left), rounded(right)
-    return (
-        ours.exceptAll(theirs).withColumn("side", F.lit("left"))
-        .unionByName(theirs.exceptAll(ours).withColumn("side", F.lit("right")))
+    both = signed(left, 1).unionByName(signed(right, -1))
+    odd = both.groupBy(*left.columns).agg(F.sum("__sign").alias("__more")).filter(F.col("__more") != 0)
+    copies = F.abs("__more") - 1
+    blocks = odd.withColumn("__block", F.explode(F.sequence(F.lit(0), F.floor(copies / _COPIES).cast("bigint"))))
+    in_block = F.least(F.lit(_COPIES), copies + 1 - F.col("__block") * _COPIES)
+    return blocks.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), in_block))).select(
+        *left.columns, F.when(F.col("__more") > 0, F.lit("left")).otherwise(F.lit("right")).alias("side")
     )
 
 
-def schema_differences(df: DataFrame, expected: T.StructType) -> list[str]:
+def schema_differences(found: DataFrame | T.StructType, expected: T.StructType) -> list[str]:
     """Columns that are missing, unexpected or of another type."""
-    actual = {f.name: f.dataType for f in df.schema}
+    schema = found.schema if isinstance(found, DataFrame) else found
+    actual = {f.name: f.dataType for f in schema}
     wanted = {f.name: f.dataType for f in expected}
-    found = [f"missing {c}" for c in wanted if c not in actual]
-    found += [f"unexpected {c}" for c in actual if c not in wanted]
-    found += [
+    differences = [f"missing {c}" for c in wanted if c not in actual]
+    differences += [f"unexpected {c}" for c in actual if c not in wanted]
+    differences += [
         f"{c} is {actual[c].simpleString()}, not {wanted[c].simpleString()}"
         for c in wanted
         if c in actual and actual[c] != wanted[c]
     ]
-    return found
+    return differences

@@ -28,6 +28,19 @@ def latest_per_key(df: DataFrame, key: str, recency: Sequence[Column]) -> DataFr
     )
 
 
+def latest_with_counts(df: DataFrame, key: str, newest: Column, n_name: str) -> DataFrame:
+    """One row per key, the one with the greatest ``newest``, and how many rows the key had.
+
+    An aggregate rather than a window: the count needs every row of a key, the row to keep is
+    chosen along the way, and both are combined before the shuffle.
+    """
+    others = [c for c in df.columns if c != key]
+    grouped = df.groupBy(key).agg(
+        F.max_by(F.struct(*others), newest).alias("_latest"), F.count(F.lit(1)).alias(n_name)
+    )
+    return grouped.select(key, *[F.col("_latest")[c].alias(c) for c in others], n_name)
+
+
 def repeated_keys(df: DataFrame, key: str, n_name: str = "n_rows") -> DataFrame:
     """Keys that occur more than once, with their counts."""
     return (

@@ -8,8 +8,8 @@ spreads over all reducers. What remains per key is its distinct values.
   Its state per key is the key's distinct values: right where the value domain is
   bounded, such as whole-dollar wages inside the reporting band (under two million).
 * ``ranked_quantiles`` makes no assumption about the domain. It finds the ranks wanted
-  on a coarse monotone grid, cuts the cells that hold them into finer ones, and sorts
-  values only inside the last cells, which hold a bounded number of them.
+  among cells that rise with the value, from a fixed grid or from a rank sketch, and sorts
+  values only inside the cells that hold them.
 
 Both interpolate at position ``fraction * (n - 1)`` and give the same figures.
 """
@@ -32,6 +32,13 @@ from wagelens.session import staged
 _CELLS_PER_DOUBLING = 64
 _LOWEST_EXPONENT = 1100
 
+# Integers of 64 bits are cut at the ends of a bracket around every wanted rank, taken from a
+# rank sketch. A sketch of size k misplaces a rank by about 2.3 / k^0.9 (published for the 99 %
+# level); brackets are twice as wide on either side. Without keys the sketch is larger.
+_SKETCH, _SKETCH_ALONE = 512, 4096
+_BRACKET = 2 * 2.296
+_SKETCH_POWER = 0.9021
+
 # A 1.1 % cell holds at most 24 million integers of 32 bits and 2^46 doubles. Two cuts
 # into 2^16 linear parts leave at most 2^15 doubles.
 _SMALL_INTEGERS = (T.ByteType, T.ShortType, T.IntegerType)
@@ -79,6 +86,42 @@ def _linear_cell(value: Column) -> Column:
     return F.coalesce(part, F.lit(0)).cast("bigint")
 
 
+def _splitters(
+    df: DataFrame, keys: Sequence[str], value: str, fractions: Mapping[str, float], size: int
+) -> DataFrame:
+    """(keys, _cuts): per key, values that bracket each wanted rank, from one pass over the rows."""
+    width = _BRACKET / size**_SKETCH_POWER
+    ranks = sorted({min(max(f + side, 0.0), 1.0) for f in fractions.values() for side in (-width, width)})
+    seen = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(
+        F.kll_sketch_agg_bigint(value, size).alias("_sketch"), F.count(F.lit(1)).alias("_rows")
+    )
+    wanted = F.array(*[F.lit(float(r)) for r in ranks])
+    # An empty sketch has no quantiles.
+    cuts = F.when(F.col("_rows") > 0, F.kll_sketch_get_quantile_bigint("_sketch", wanted))
+    return seen.select(*keys, cuts.alias("_cuts"))
+
+
+def _bracketed(
+    counts: DataFrame, df: DataFrame, keys: Sequence[str], value: str, fractions: Mapping[str, float]
+) -> DataFrame:
+    """``counts`` with the cell each value lies in, between its key's splitters.
+
+    Cells rise with the value and hold every value, whatever the sketch says: where it errs, a
+    larger cell is sorted and the result is the same.
+    """
+    cuts = _splitters(df, keys, value, fractions, _SKETCH if keys else _SKETCH_ALONE)
+    n_cuts = 2 * len(fractions)
+    ends = [F.get(F.col("_cuts"), F.lit(i)) for i in range(n_cuts)]
+    # A low end starts a cell, a high end still belongs to its own; null ends count for nothing.
+    beyond = [F.coalesce((F.col(value) >= e).cast("int") + (F.col(value) > e).cast("int"), F.lit(0)) for e in ends]
+    cell = reduce(Column.__add__, beyond).cast("bigint")
+    by = {f"{k}__c": k for k in keys} or {"_all__c": None}
+    renamed = cuts.select(*[(F.col(k) if k else F.lit(0)).alias(name) for name, k in by.items()], "_cuts")
+    left = counts if keys else counts.withColumn("_all", F.lit(0))
+    match = reduce(and_, [F.col(name.removesuffix("__c")).eqNullSafe(F.col(name)) for name in by])
+    return left.join(renamed, match).withColumn("_cell", cell).drop("_cuts", *by, *([] if keys else ["_all"]))
+
+
 def _spots(fractions: Mapping[str, float]) -> list[Column]:
     """The wanted positions among ``_total`` values, counted from 0."""
     return [F.lit(float(f)) * (F.col("_total") - 1) for f in fractions.values()]
@@ -142,20 +185,21 @@ def ranked_quantiles(
 ) -> DataFrame:
     """Quantiles per key over any finite numbers, by rank; no keys gives one row.
 
-    Integers repeat, so counting equal values first shrinks them; those of 64 bits are then
-    cut as fractions are. Fractions may all differ; their cells are counted row by row, which
-    combines on the map side, and only the rows of the wanted cells are shuffled. ``df`` is
-    then read twice: pass a stored table, not a long plan.
+    Integers repeat, so counting equal values first shrinks them. Those of 64 bits are then cut
+    at brackets from a rank sketch, so what the last sort sees is a small share of a key's
+    different values (0.4 % per fraction without keys, 3 % with). Fractions may all differ;
+    their cells are counted row by row, which combines on the map side, and only the rows of
+    the wanted cells are shuffled. ``df`` is read twice: pass a stored table, not a long plan.
     """
     cell = _magnitude_cell(F.col(value))
     if isinstance(df.schema[value].dataType, _SMALL_INTEGERS):
         counts = value_counts(df, keys, value).withColumn("_cell", cell)
         placed = _narrow(counts, keys, value, fractions)
+    elif isinstance(df.schema[value].dataType, T.LongType):
+        counts = _bracketed(value_counts(df, keys, value), df, keys, value, fractions)
+        placed = _narrow(counts, keys, value, fractions)
     else:
-        if isinstance(df.schema[value].dataType, T.LongType):
-            rows = value_counts(df, keys, value)
-        else:
-            rows = df.select(*keys, value).filter(F.col(value).isNotNull()).withColumn("_n", F.lit(1).cast("bigint"))
+        rows = df.select(*keys, value).filter(F.col(value).isNotNull()).withColumn("_n", F.lit(1).cast("bigint"))
         rows = rows.withColumn("_cell", cell)
         placed = (
             _narrow(rows, keys, value, fractions)

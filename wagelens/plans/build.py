@@ -6,15 +6,16 @@
 from __future__ import annotations
 
 import sys
-import uuid
 
 from pyspark.sql import SparkSession
 
 from wagelens import fixed
-from wagelens.plans.clean import write_cleaned
-from wagelens.plans.ledger import reconciled_ledger
+from wagelens.plans.clean import FILED, counted_latest, write_cleaned_latest
+from wagelens.plans.ledger import balanced, counted_stage_row
 from wagelens.plans.star import Star, build_star, catalog
+from wagelens.session import staged
 from wagelens.sources.filings import load_filings
+from wagelens.sources.versions import replace_table
 
 
 def build(
@@ -27,15 +28,20 @@ def build(
 ) -> tuple[Star, dict[str, int]]:
     """The new star and the ledger of its rows.
 
-    The cleaned table is written once; the ledger and the star read it from there. A
-    broken rule or an unbalanced ledger raises before anything is published.
+    Sources are read and deduplicated once; the latest filings are staged for the ledger and the
+    cleaned table, which is a version of ``<root>/cleaned`` and what the star reads. A broken rule or an unbalanced ledger raises before anything is
+    published.
     """
-    raw = load_filings(spark, folder, pattern)
-    path = f"{root}/cleaned-{uuid.uuid4().hex[:12]}"
-    write_cleaned(raw, path, tech_only, earliest_year)
-    cleaned = spark.read.parquet(path)
-    stages = reconciled_ledger(raw, cleaned, tech_only)
-    return build_star(cleaned, root), stages
+    latest = staged(counted_latest(load_filings(spark, folder, pattern)), "latest")
+    stages: dict[str, int] = {}
+
+    def write(path: str) -> None:
+        write_cleaned_latest(latest, path, tech_only, earliest_year)
+        counts = counted_stage_row(latest, FILED, tech_only).first().asDict()
+        stages.update(balanced(counts, spark.read.parquet(path)))
+
+    path = replace_table(spark, f"{root}/cleaned", write)
+    return build_star(spark.read.parquet(path), root), stages
 
 
 if __name__ == "__main__":

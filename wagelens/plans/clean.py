@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 from wagelens import fixed
 from wagelens.functions import dates, text, wages
 from wagelens.functions.cases import well_formed
-from wagelens.operators.latest import latest_per_key
+from wagelens.operators.latest import latest_per_key, latest_with_counts
 from wagelens.sources.filings import POSITION
 from wagelens.sources.sinks import remove, replace
 
@@ -40,6 +40,17 @@ def latest_filings(raw: DataFrame, position: str = POSITION) -> DataFrame:
     return latest_per_key(raw, "CASE_NUMBER", recency)
 
 
+FILED = "_filed"
+
+
+def counted_latest(raw: DataFrame, position: str = POSITION) -> DataFrame:
+    """``latest_filings`` with ``_filed``, the number of rows of each case: what a build stages, so
+    that the ledger and the cleaned table come from one reading of the sources."""
+    decided = _date(raw, "DECISION_DATE")
+    later = [F.col(position)] if position in raw.columns else []
+    return latest_with_counts(raw, "CASE_NUMBER", F.struct(decided.isNull(), decided, *later), FILED)
+
+
 def certified(latest: DataFrame) -> DataFrame:
     """Filings an employer committed to; a missing status is none of these."""
     return latest.filter(F.col("CASE_STATUS").isin(*fixed.KEEP_STATUSES))
@@ -195,7 +206,14 @@ def write_cleaned(
     folder beside ``path``, which takes its place once they are known to be valid and goes
     if they are not: a refused write leaves the table that was there.
     """
-    kept = certified(latest_filings(raw))
+    write_cleaned_latest(latest_filings(raw), path, tech_only, earliest_year)
+
+
+def write_cleaned_latest(
+    latest: DataFrame, path: str, tech_only: bool = True, earliest_year: int = fixed.EARLIEST_FISCAL_YEAR
+) -> None:
+    """``write_cleaned`` for filings that are the latest of their cases already."""
+    kept = certified(latest)
     seen = Observation("rules")
     out = cleaned_layout(kept.observe(seen, *violation_counts(kept, earliest_year)), earliest_year)
     if tech_only:
@@ -205,6 +223,6 @@ def write_cleaned(
         out.write.parquet(fresh)
         _refuse(seen.get, kept)
     except BaseException:
-        remove(raw.sparkSession, fresh)
+        remove(latest.sparkSession, fresh)
         raise
-    replace(raw.sparkSession, fresh, path)
+    replace(latest.sparkSession, fresh, path)

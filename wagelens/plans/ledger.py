@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wagelens import fixed
@@ -23,6 +23,23 @@ STAGES = (
 )
 
 
+def _after_deduplication(tech_only: bool) -> list[Column]:
+    kept = F.coalesce(F.col("CASE_STATUS").isin(*fixed.KEEP_STATUSES), F.lit(False))
+    tech = text.is_tech(text.normalize_soc(F.col("SOC_CODE"))) if tech_only else F.lit(True)
+    return [
+        F.count(F.lit(1)).alias("unique filings"),
+        F.count_if(~kept).alias("not certified"),
+        F.count_if(kept & ~tech).alias("not tech"),
+        F.count_if(kept & tech).alias("rows out"),
+    ]
+
+
+def counted_stage_row(latest: DataFrame, filed: str, tech_only: bool = True) -> DataFrame:
+    """The ledger from the latest filings and the number of rows each case had: one pass, no shuffle."""
+    counts = latest.agg(F.coalesce(F.sum(filed), F.lit(0)).alias("rows read"), *_after_deduplication(tech_only))
+    return counts.withColumn("duplicate cases", F.col("rows read") - F.col("unique filings")).select(*STAGES)
+
+
 def stage_row(raw: DataFrame, tech_only: bool = True) -> DataFrame:
     """The ledger as one row, from the narrow columns that decide it.
 
@@ -41,14 +58,7 @@ def stage_row(raw: DataFrame, tech_only: bool = True) -> DataFrame:
     if POSITION in narrow.columns:
         recency.append(F.col(POSITION).desc())
     latest = latest_per_key(narrow, "CASE_NUMBER", recency)
-    kept = F.coalesce(F.col("CASE_STATUS").isin(*fixed.KEEP_STATUSES), F.lit(False))
-    tech = text.is_tech(text.normalize_soc(F.col("SOC_CODE"))) if tech_only else F.lit(True)
-    after = latest.agg(
-        F.count(F.lit(1)).alias("unique filings"),
-        F.count_if(~kept).alias("not certified"),
-        F.count_if(kept & ~tech).alias("not tech"),
-        F.count_if(kept & tech).alias("rows out"),
-    )
+    after = latest.agg(*_after_deduplication(tech_only))
     read = narrow.agg(F.count(F.lit(1)).alias("_read")).scalar()
     full = after.withColumn("rows read", read).withColumn(
         "duplicate cases", F.col("rows read") - F.col("unique filings")
@@ -72,8 +82,13 @@ def reconciled_ledger(
     if rows_read is not None:
         counts["rows read"] = rows_read
         counts["duplicate cases"] = rows_read - counts["unique filings"]
+    return balanced(counts, cleaned)
+
+
+def balanced(counts: dict[str, int], cleaned: DataFrame) -> dict[str, int]:
+    """The ledger in the order of its stages, if it adds up and ends in the rows of ``cleaned``."""
     if counts["duplicate cases"] < 0:
-        raise ValueError(f"{rows_read} rows read cannot hold {counts['unique filings']} different cases")
+        raise ValueError(f"{counts['rows read']} rows read cannot hold {counts['unique filings']} different cases")
     found = cleaned.count()
     if found != counts["rows out"]:
         raise ValueError(f"{counts['rows out']} rows should be left, {found} are in the cleaned table")

@@ -8,22 +8,26 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import partial, reduce
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wagelens import fixed
 from wagelens.functions import wages
 from wagelens.functions.cases import case_day, case_number, case_order, case_prefix, case_serial
-from wagelens.operators.checks import duplicate_keys, null_counts, orphan_report
+from wagelens.operators.checks import duplicate_keys, null_counts, orphan_report, schema_differences
+from wagelens.operators.constraints import REFERENCE, UNIQUE, Constraint, broken_constraints, not_null
 from wagelens.operators.positions import bucketed_positions
 from wagelens.operators.summaries import unpivot_counts
-from wagelens.sources.sinks import current_run, publish, verify_rows
+from wagelens.sources.sinks import verify_rows
+from wagelens.sources.versions import current_version, replace_table
 
-# ---- fixed values: lookup table, id, keys, and what is carried beside the key ---
+# ---- fixed values: per lookup its table, its id, the columns that make a row its own, and the
+# column of which each row keeps the first value seen
 LOOKUPS = [
     ("employers", "employer_id", ["employer_name"], "raw_name_sample"),
     ("occupations", "soc_id", ["soc_code"], "soc_title"),
@@ -47,6 +51,22 @@ SCHEMAS = {
     ),
 }
 
+# What the stored fact holds besides: a key per text that questions ask for, and the folder.
+KEY_COLUMNS = {"title_key": "job_title", "city_key": "worksite_city", "state_key": "worksite_state"}
+BLOCK = "title_block"
+_STORED_FACT = SCHEMAS["filings"] + "".join(f", {key} binary" for key in KEY_COLUMNS) + f", {BLOCK} int"
+
+# Titles as a search offers them: folded, its least spelling, how many filings it has.
+SEARCH_SCHEMA = "folded string, job_title string, n bigint"
+_SEARCH = "title_counts"
+
+# Ends a run's name, before the bits of its folders of titles.
+_BITS_MARK = "-b"
+
+# A folder of one year holds about so many filings, but there are at most 2^12 folders a year.
+BLOCK_ROWS = 16_000_000
+_MOST_BITS, _KEY_BITS = 12, 16
+
 TABLES = [name for name, *_ in LOOKUPS] + ["filings"]
 COLUMNS = {name: [field.split()[0] for field in text.split(",")] for name, text in SCHEMAS.items()}
 FACT_COLUMNS = COLUMNS["filings"]
@@ -62,7 +82,12 @@ REQUIRED = [
 
 @dataclass(frozen=True)
 class Star:
-    """The six tables. Any of them may be replaced by an equivalent DataFrame."""
+    """The six tables, and what a stored star has besides to answer questions sooner.
+
+    ``keyed`` is the fact with the keys of ``KEY_COLUMNS`` and its folder, ``search`` the titles
+    with their counts, ``block_bits`` how many bits of a title's key name its folder. Without them
+    questions join the lookups.
+    """
 
     filings: DataFrame
     employers: DataFrame
@@ -70,6 +95,9 @@ class Star:
     titles: DataFrame
     locations: DataFrame
     visa_classes: DataFrame
+    keyed: DataFrame | None = None
+    search: DataFrame | None = None
+    block_bits: int = 0
 
     def table(self, name: str) -> DataFrame:
         return getattr(self, name)
@@ -122,6 +150,23 @@ def numbered_lookup(
 # ---- fact ----------------------------------------------------------------------
 
 
+def text_key(text: Column) -> Column:
+    """16 bytes that stand for a text in any case. For a given text it is a constant of the plan,
+    so a question about it is a literal filter that prunes folders, row groups and pages."""
+    return F.unhex(F.md5(F.lower(text)))
+
+
+def title_block(key: Column, bits: int) -> Column:
+    """The folder of a title: the leading bits of its key."""
+    leading = F.conv(F.substring(F.hex(key), 1, _KEY_BITS // 4), 16, 10).cast("int")
+    return F.shiftright(leading, _KEY_BITS - bits)
+
+
+def block_bits(n_rows: int) -> int:
+    """Bits for folders of about ``BLOCK_ROWS`` filings."""
+    return min(_MOST_BITS, (max(0, n_rows - 1) // BLOCK_ROWS).bit_length())
+
+
 def _with_id(df: DataFrame, lookup: DataFrame, id_column: str, keys: Sequence[str]) -> DataFrame:
     """Attach the id and let go of the key text. Null keys match null keys."""
     renamed = lookup.select(id_column, *[F.col(k).alias(k + "__l") for k in keys])
@@ -130,7 +175,7 @@ def _with_id(df: DataFrame, lookup: DataFrame, id_column: str, keys: Sequence[st
 
 
 def fact_of(source: DataFrame, lookups: dict[str, DataFrame]) -> DataFrame:
-    """The 18-column fact. Text is replaced by ids one lookup at a time.
+    """The fact and its keys. Text is replaced by ids one lookup at a time.
 
     Catalyst broadcasts a lookup by its stored size and shuffles it beyond the
     threshold; a frequent employer or title is then split by adaptive skew handling.
@@ -141,6 +186,7 @@ def fact_of(source: DataFrame, lookups: dict[str, DataFrame]) -> DataFrame:
         case_serial(number).alias("case_serial"),
         case_prefix(number).alias("case_prefix"),
         *keys,
+        *[text_key(F.col(text)).alias(key) for key, text in KEY_COLUMNS.items()],
         *[
             wages.whole_dollars(F.col(c)).alias(c)
             for c in ("annual_wage", "annual_from", "annual_to", "prevailing_wage")
@@ -155,7 +201,21 @@ def fact_of(source: DataFrame, lookups: dict[str, DataFrame]) -> DataFrame:
     )
     for name, id_column, lookup_keys, _ in LOOKUPS:
         facts = _with_id(facts, lookups[name], id_column, lookup_keys)
-    return facts.select(*FACT_COLUMNS)
+    return facts.select(*FACT_COLUMNS, *KEY_COLUMNS)
+
+
+def title_counts(facts: DataFrame, titles: DataFrame) -> DataFrame:
+    """Per folded title its least spelling and its filings, for ``title_search``.
+
+    Spellings that differ in case are one entry. Filings are counted by id before the text
+    is joined.
+    """
+    filed = facts.groupBy("title_id").agg(F.count(F.lit(1)).alias("_filed"))
+    return (
+        filed.join(titles, "title_id")
+        .groupBy(F.lower("job_title").alias("folded"))
+        .agg(F.min("job_title").alias("job_title"), F.sum("_filed").alias("n"))
+    )
 
 
 # ---- build and open ------------------------------------------------------------
@@ -168,12 +228,16 @@ class BrokenStar(ValueError):
 def build_star(cleaned: DataFrame, root: str) -> Star:
     """Write the six tables under a new run, check them, then make the run current.
 
-    Readers see the previous run until the new one is complete.
+    Readers see the previous run until the new one is complete. A run that fails is removed.
     """
-    spark = cleaned.sparkSession
-    run = f"run-{uuid.uuid4().hex[:12]}"
-    folder = f"{root}/{run}"
+    spark, n_rows = cleaned.sparkSession, cleaned.count()
+    name = f"run-{uuid.uuid4().hex[:12]}{_BITS_MARK}{block_bits(n_rows)}"
+    replace_table(spark, root, partial(_write_run, cleaned, n_rows), name)
+    return open_star(spark, root)
+
 
+def _write_run(cleaned: DataFrame, n_rows: int, folder: str) -> None:
+    spark, bits = cleaned.sparkSession, block_bits(n_rows)
     source = star_source(cleaned)
     _together(
         [
@@ -187,30 +251,38 @@ def build_star(cleaned: DataFrame, root: str) -> Star:
         name: spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}") for name, *_ in LOOKUPS
     }
 
-    write_fact(fact_of(source, lookups), f"{folder}/filings", lookups["titles"].count())
-    star = _open_run(spark, folder)
-    _together([partial(_check, star), lambda: verify_rows(spark, f"{folder}/filings", cleaned.count())])
-    publish(spark, root, run)
-    return star
-
-
-def write_fact(facts: DataFrame, path: str, n_titles: int) -> None:
-    """The fact in folders per year, sorted by title and place inside each file.
-
-    A question about a title then skips nearly every row group. Rows meet by blocks of
-    neighbouring title ids. The rebalance hint lets adaptive execution cut a block that
-    holds many rows into several files, and, unlike a range partitioning, it does not run
-    the joins a first time just to sample them.
+    write_fact(fact_of(source, lookups), f"{folder}/filings", bits)
+    star = _open_run(spark, folder, bits)
+    # Sorted, so that a prefix is a range of row groups.
+    search = title_counts(star.filings, star.titles).orderBy("folded")
+    _together([
+        partial(_check, star),
+        lambda: verify_rows(spark, f"{folder}/filings", n_rows),
+        partial(search.write.parquet, f"{folder}/{_SEARCH}"),
+    ])
+    wrong = stored_types(spark, folder)
+    if wrong:
+        raise BrokenStar(f"stored tables differ from their layout: {wrong}")
+
+
+def write_fact(facts: DataFrame, path: str, bits: int) -> None:
+    """The fact in folders per year and block of titles, sorted by title and place in each file.
+
+    A question about a title reads one folder a year and skips nearly every row group there.
+    Rows meet by finer blocks of neighbouring keys. The rebalance hint lets adaptive execution
+    cut a block that holds many rows into several files, and, unlike a range partitioning, it
+    does not run the joins a first time just to sample them.
     """
-    blocks = 4 * int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    per_block = max(1, -(-n_titles // blocks))
-    order = ["fiscal_year", "title_id", "location_id", "case_serial"]
+    tasks = 4 * int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    finer = min(_KEY_BITS, max(bits, (tasks - 1).bit_length()))
+    order = ["fiscal_year", BLOCK, "title_key", "location_id", "case_serial"]
     (
-        facts.withColumn("_block", F.floor(F.col("title_id") / per_block))
-        .hint("rebalance", "fiscal_year", "_block")
+        facts.withColumn(BLOCK, title_block(F.col("title_key"), bits))
+        .withColumn("_part", title_block(F.col("title_key"), finer))
+        .hint("rebalance", "fiscal_year", "_part")
         .sortWithinPartitions(*order)
-        .drop("_block")
-        .write.partitionBy("fiscal_year")
+        .drop("_part")
+        .write.partitionBy("fiscal_year", BLOCK)
         .parquet(path)
     )
 
@@ -222,18 +294,54 @@ def _together(steps: Sequence[Callable[[], object]]) -> None:
             done.result()
 
 
-def _open_run(spark: SparkSession, folder: str) -> Star:
+def _open_run(spark: SparkSession, folder: str, bits: int) -> Star:
     """The tables of a run. Stated schemas save the job that would infer each of them."""
     tables = {
-        name: spark.read.schema(schema).parquet(f"{folder}/{name}").select(*COLUMNS[name])
-        for name, schema in SCHEMAS.items()
+        name: spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}").select(*COLUMNS[name])
+        for name, *_ in LOOKUPS
     }
-    return Star(**tables)
+    keyed = spark.read.schema(_STORED_FACT).parquet(f"{folder}/filings")
+    return Star(filings=keyed.select(*FACT_COLUMNS), keyed=keyed, block_bits=bits, **tables)
 
 
 def open_star(spark: SparkSession, root: str) -> Star:
     """The current run's tables."""
-    return _open_run(spark, f"{root}/{current_run(spark, root)}")
+    run = current_version(spark, root)
+    folder, bits = f"{root}/{run}", int(run.rpartition(_BITS_MARK)[2])
+    search = spark.read.schema(SEARCH_SCHEMA).parquet(f"{folder}/{_SEARCH}")
+    return replace(_open_run(spark, folder, bits), search=search)
+
+
+# What must hold in a star: ids, keys and flags are there, keys are their rows' own, ids refer.
+CONSTRAINTS = [
+    *not_null("filings", REQUIRED),
+    *[
+        rule
+        for name, id_column, keys, payload in LOOKUPS
+        for rule in not_null(name, [id_column, *keys, *([payload] if payload in REQUIRED_PAYLOADS else [])])
+    ],
+    Constraint(UNIQUE, "filings", ("case_serial",)),
+    *[Constraint(UNIQUE, name, tuple(keys)) for name, _, keys, _ in LOOKUPS],
+    *[Constraint(UNIQUE, name, (id_column,)) for name, id_column, _, _ in LOOKUPS],
+    *[Constraint(REFERENCE, "filings", (id_column,), name) for name, id_column, _, _ in LOOKUPS],
+]
+
+
+def broken_rules(star: Star) -> DataFrame:
+    """(rule, table, columns, n_keys, n_rows) for every constraint; zeros in a sound star."""
+    return broken_constraints({name: star.table(name) for name in TABLES}, CONSTRAINTS)
+
+
+def stored_types(spark: SparkSession, folder: str) -> list[str]:
+    """Columns of a run's files that are missing, unexpected or of another type than stated."""
+    stated = {**SCHEMAS, "filings": _STORED_FACT, _SEARCH: SEARCH_SCHEMA}
+    with ThreadPoolExecutor(len(stated)) as pool:
+        stored = dict(zip(stated, pool.map(lambda name: spark.read.parquet(f"{folder}/{name}").schema, stated)))
+    return [
+        f"{name}: {difference}"
+        for name, text in stated.items()
+        for difference in schema_differences(stored[name], T.StructType.fromDDL(text))
+    ]
 
 
 def foreign_keys(star: Star) -> DataFrame:

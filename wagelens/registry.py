@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -234,6 +235,33 @@ def curated_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# ---- constraints on data with planted faults --------------------------------------
+
+
+def _with_faults(tables: star.Star) -> star.Star:
+    """The star with faults of every kind: lost ids, nulls, repeated serials, keys and ids."""
+    serial = F.col("case_serial")
+    facts = tables.filings.withColumns({
+        "employer_id": F.when(serial % 97 == 0, F.col("employer_id") + 1_000_000_000).otherwise(F.col("employer_id")),
+        "title_id": F.when(serial % 89 == 0, None).otherwise(F.col("title_id")),
+        "is_outlier": F.when(serial % 83 == 0, None).otherwise(F.col("is_outlier")),
+    })
+    employers, occupations = tables.employers, tables.occupations
+    again = employers.filter("employer_id % 50 = 0").withColumn("employer_id", F.col("employer_id") + 2_000_000_000)
+    return replace(
+        tables,
+        filings=facts.unionByName(facts.filter(serial % 101 == 0)),
+        employers=employers.unionByName(again),
+        occupations=occupations.withColumn("soc_title", F.when(F.col("soc_id") > 0, F.col("soc_title"))),
+        titles=tables.titles.unionByName(tables.titles.filter("title_id % 3 = 0")),
+        locations=tables.locations.filter("location_id % 4 <> 1"),
+    )
+
+
+def planted_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return star.broken_rules(_with_faults(built_star(spark, sf_dir)))
+
+
 # ---- windows -------------------------------------------------------------------
 
 
@@ -375,6 +403,7 @@ def all_queries() -> dict[str, Query]:
         "fact_nulls": _on_star(star.missing_values),
         "repeated_serials": _on_star(star.repeated_serials),
         "repeated_lookup_keys": _on_star(star.repeated_lookup_keys),
+        "planted_faults": planted_faults,
         # questions
         "salary_percentiles": _on_star(q.salary_percentiles),
         "salary_percentiles_slice": _on_star(q.salary_percentiles, **slice_of, fiscal_year=YEAR),

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 _local_folders: dict[str, str] = {}
+_removed_on_exit: set[str] = set()
 
 
 def local_session(app: str = "wagelens", cores: int | str = "*", **conf: str) -> SparkSession:
@@ -39,7 +40,7 @@ def local_session(app: str = "wagelens", cores: int | str = "*", **conf: str) ->
 
 
 def staging_root(spark: SparkSession) -> str:
-    """The folder every executor can reach for written intermediate tables.
+    """The folder every executor can reach for written intermediate tables of this application.
 
     A cluster names it in ``spark.checkpoint.dir``. Only a local session may fall
     back to a folder of this machine.
@@ -47,14 +48,25 @@ def staging_root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     configured = spark.conf.get(CHECKPOINT_KEY, None)
     if configured:
-        return f"{configured.rstrip('/')}/{app}"
+        return _until_exit(spark, f"{configured.rstrip('/')}/{app}")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(
             f"{CHECKPOINT_KEY} is not set; intermediate tables need a folder shared by all executors"
         )
     if app not in _local_folders:
         _local_folders[app] = tempfile.mkdtemp(prefix="wagelens-")
-    return _local_folders[app]
+    return _until_exit(spark, _local_folders[app])
+
+
+def _until_exit(spark: SparkSession, folder: str) -> str:
+    """The folder, made if need be; the driver removes it with its staged tables when it exits."""
+    if folder not in _removed_on_exit:
+        place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(place)
+        files.deleteOnExit(place)
+        _removed_on_exit.add(folder)
+    return folder
 
 
 def staging_path(spark: SparkSession, name: str) -> str:

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from wagelens.sources.versions import current_version as current_run
+from wagelens.sources.versions import file_system, publish, remove, replace_table
+
+__all__ = [
+    "WriteMismatch", "clear_tables", "current_run", "publish", "recover", "remove", "replace", "verify_rows",
+    "write_cache", "write_curated", "write_database",
+]
 
 
 class WriteMismatch(RuntimeError):
@@ -13,24 +21,24 @@ class WriteMismatch(RuntimeError):
 
 
 def write_cache(df: DataFrame, path: str) -> str:
-    """A source as a Parquet cache. The commit protocol makes the replacement whole."""
-    df.write.mode("overwrite").option("compression", "snappy").parquet(path)
-    return path
+    """A source as a Parquet cache, replaced as a whole. Readers of sources follow the pointer
+    inside ``path``; the folder of the new version is returned."""
+    return replace_table(
+        df.sparkSession, path, lambda folder: df.write.option("compression", "snappy").parquet(folder)
+    )
 
 
 def write_curated(cleaned: DataFrame, path: str) -> str:
-    """The cleaned filings, one folder per fiscal year so that a year can be pruned.
+    """The cleaned filings, one folder per fiscal year so that a year can be pruned; replaced as a
+    whole, and the folder of the new version is returned.
 
     The rebalance hint brings a year's rows together, so that no task opens many files,
     and lets adaptive execution cut a year that holds most of the rows into several.
     """
-    (
-        cleaned.hint("rebalance", "fiscal_year")
-        .write.mode("overwrite")
-        .partitionBy("fiscal_year")
-        .parquet(path)
+    rows = cleaned.hint("rebalance", "fiscal_year")
+    return replace_table(
+        cleaned.sparkSession, path, lambda folder: rows.write.partitionBy("fiscal_year").parquet(folder)
     )
-    return path
 
 
 def verify_rows(spark: SparkSession, path: str, expected: int) -> int:
@@ -41,28 +49,6 @@ def verify_rows(spark: SparkSession, path: str, expected: int) -> int:
     return stored
 
 
-# ---- publication: all tables of a run become visible together ----------------
-
-_LOG = "_published"
-
-
-def publish(spark: SparkSession, root: str, run: str) -> None:
-    """Record ``run`` as the current one. Its tables are complete before this is called."""
-    entry = spark.range(1).select(
-        F.lit(run).alias("run"), F.current_timestamp().alias("published_at")
-    )
-    entry.coalesce(1).write.mode("append").parquet(f"{root}/{_LOG}")
-
-
-def current_run(spark: SparkSession, root: str) -> str:
-    newest = (
-        spark.read.parquet(f"{root}/{_LOG}")
-        .orderBy(F.col("published_at").desc(), F.col("run").desc())
-        .first()
-    )
-    return newest["run"]
-
-
 # ---- database sink -----------------------------------------------------------
 
 
@@ -111,16 +97,48 @@ def write_database(
         )
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Deletes a folder, if it is there, on whatever file system it lies."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+# ---- plain folders -------------------------------------------------------------
+
+_ASIDE = ".aside-"
+
+
+def _set_aside(spark: SparkSession, path: str) -> list[str]:
+    """Former folders of ``path`` that a replacement has put aside, oldest first."""
+    files, place = file_system(spark, path)
+    beside = place.getParent()
+    if not files.exists(beside):
+        return []
+    prefix = f".{place.getName()}{_ASIDE}"
+    return sorted(str(s.getPath()) for s in files.listStatus(beside) if s.getPath().getName().startswith(prefix))
+
+
+def recover(spark: SparkSession, path: str) -> bool:
+    """Puts back the folder that an interrupted replacement has left aside, if ``path`` is gone."""
+    files, place = file_system(spark, path)
+    aside = _set_aside(spark, path)
+    if files.exists(place) or not aside:
+        return False
+    return files.rename(file_system(spark, aside[-1])[1], place)
 
 
 def replace(spark: SparkSession, fresh: str, path: str) -> None:
-    """Puts the folder ``fresh`` in the place of ``path``."""
-    source, target = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (fresh, path))
-    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
-    files.delete(target, True)
-    if not files.rename(source, target):
+    """Puts the folder ``fresh`` in the place of the plain folder ``path``.
+
+    The old folder is put aside and goes last. If the move fails it comes back at once; if
+    this process ends between the two moves, ``recover`` or the next replacement brings it back.
+    For tables that are read while they are replaced, use ``replace_table``.
+    """
+    recover(spark, path)
+    files, target = file_system(spark, path)
+    for left in _set_aside(spark, path):
+        remove(spark, left)
+    aside = target.getParent().suffix(f"/.{target.getName()}{_ASIDE}{time.time_ns():020d}")
+    held = files.exists(target)
+    if held and not files.rename(target, aside):
+        raise OSError(f"{path} could not be put aside")
+    source = file_system(spark, fresh)[1]
+    if not files.exists(source) or not files.rename(source, target):
+        recover(spark, path)
         raise OSError(f"{fresh} could not be moved to {path}")
+    if held:
+        files.delete(aside, True)
