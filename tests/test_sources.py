@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 import re
 
 import pytest
@@ -11,7 +12,7 @@ from wagelens.plans import build as build_module
 from wagelens.plans.build import build
 from wagelens.plans.star import open_star
 from wagelens.sources import filings as sources
-from wagelens.sources import sinks, versions
+from wagelens.sources import quoted, sinks, versions
 
 
 @pytest.fixture
@@ -326,3 +327,49 @@ def test_counted_latest_is_the_latest(spark, filings):
     got = {(r.JOB_TITLE, r._filed) for r in cleaning.counted_latest(raw).collect()}
     assert got == {("b", 3), ("d", 1)}
     assert {r.JOB_TITLE for r in cleaning.latest_filings(raw).collect()} == {"b", "d"}
+
+
+# ---- CSV -------------------------------------------------------------------------
+
+
+def odd_csv(n, seed):
+    """Records with quotes, line ends, commas and blanks in any field."""
+    rnd = random.Random(seed)
+    pieces = ['plain', 'a, b', 'two\nlines', '"said"', '', ' ', '\n\n', 'é ñ', '"', ',', 'x' * 200, '="15-1252.00"']
+    rows = [[f"k{i}", *("".join(rnd.choices(pieces, k=rnd.randrange(0, 3))) for _ in range(3))] for i in range(n)]
+
+    def field(text):
+        quoted = any(c in text for c in '",\n\r') or rnd.random() < 0.3
+        return '"' + text.replace('"', '""') + '"' if quoted else text
+
+    lines = [",".join(map(field, row)) for row in rows]
+    return "CASE_NUMBER,b,c,d\n" + "\n".join(lines) + "\n"
+
+
+@pytest.mark.parametrize("split", ["512", "3k", "10m"])
+def test_quoted_csv_is_split_and_reads_as_in_one_task(spark, tmp_path, split):
+    path = str(tmp_path / "LCA_1.csv")
+    (tmp_path / "LCA_1.csv").write_text(odd_csv(400, 7) + '\n"k400","a long\n' + "line\n" * 900 + '",x,y\n')
+    wanted = [tuple(r) for r in spark.read.csv(path, header=True, escape='"', multiLine=True).collect()]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        df = quoted.read_quoted_csv(spark, path)
+        got = [tuple(r) for r in df.orderBy(quoted.ROW).drop(quoted.FILE, quoted.ROW).collect()]
+        tasks = quoted._lines(spark, path).rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == wanted and len(got) == 401
+    assert tasks > 3 or split != "512"
+    assert df.select(quoted.ROW).distinct().count() == 401
+
+
+def test_csv_with_an_unpaired_quote_is_refused(spark, tmp_path):
+    (tmp_path / "x.csv").write_text('CASE_NUMBER,b\n1,"open\n2,x\n')
+    with pytest.raises(ValueError, match="pair"):
+        quoted.read_quoted_csv(spark, str(tmp_path / "x.csv"))
+
+
+def test_csv_with_carriage_returns_and_no_last_line_end(spark, tmp_path):
+    (tmp_path / "x.csv").write_bytes(b'CASE_NUMBER,b\r\n1,"x"\r\n\r\n2,y')
+    rows = quoted.read_quoted_csv(spark, str(tmp_path / "x.csv")).collect()
+    assert sorted((r.CASE_NUMBER, r.b) for r in rows) == [("1", "x"), ("2", "y")]

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from wagelens import fixed
 from wagelens.functions.dates import lenient_date
+from wagelens.sources.quoted import FILE, ROW, read_quoted_csv
 from wagelens.sources.versions import current_path, file_system
 
 KEY = "CASE_NUMBER"
@@ -41,14 +42,13 @@ def find_sources(spark: SparkSession, folder: str, pattern: str = "LCA_*.parquet
 
 def read_source(spark: SparkSession, path: str) -> DataFrame:
     """One source without its blank padding rows. The key column is found by name."""
-    return _without_padding(_stored(spark, path), path)
+    return _without_padding(_stored(spark, path), path).drop(FILE, ROW)
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame:
     """A source as it is stored. The part files of a folder may differ in their columns."""
     if path.endswith(".csv"):
-        # Quoted text may span lines, so a file is not split.
-        return spark.read.csv(path, header=True, escape='"', multiLine=True)
+        return read_quoted_csv(spark, path)
     return spark.read.option("mergeSchema", True).parquet(current_path(spark, path))
 
 
@@ -69,7 +69,7 @@ class Sources:
 
     @property
     def columns(self) -> list[str]:
-        return self.schema.fieldNames()
+        return [c for c in self.schema.fieldNames() if c not in (FILE, ROW)]
 
 
 # Schemas are read by small jobs, so many at a time.
@@ -123,10 +123,10 @@ def _position(path: str) -> Column:
     Four fixed-size fields, as every row carries them through a shuffle. Part files go by
     their number; the hash only keeps files without one apart.
     """
-    name = F.col("_metadata.file_name")
+    csv = path.endswith(".csv")
+    name = F.substring_index(FILE, "/", -1) if csv else F.col("_metadata.file_name")
     part = F.regexp_extract(name, r"^part-(\d{1,9})\D", 1).try_cast("int")
-    # A CSV file is read by one task, in which ids grow with the rows.
-    row = F.monotonically_increasing_id() if path.endswith(".csv") else F.col("_metadata.row_index")
+    row = F.col(ROW) if csv else F.col("_metadata.row_index")
     return F.struct(
         F.col(_RANK).alias("source"),
         F.coalesce(part, F.lit(0)).alias("part"),
