@@ -157,18 +157,45 @@ def test_alignment_equals_brute_force(spark, pieces, chunk_chars, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(wanted, key=repr)
 
 
-def test_worker_forgets_slices_and_long_words_align(pieces, monkeypatch):
+def test_worker_forgets_parts_and_long_words_align(monkeypatch):
     monkeypatch.setattr(alignment, "MEMORY", 3)
     known = alignment.Aligner(vocabulary_path(BYTE_LEVEL), vocabulary_path(PIECES))
+    assert known.cuts
     for text in texts_of(30, 11) + ["x" * 20_000]:
-        for a, b in known.encode([text]):
-            if not a:
-                continue
-            found = [known.linked(g) for g in known.groups(a, b)]
-            spans = [byte_spans([(i, s.bytes[i]) for i in ids]) for s, ids in ((known.a, a), (known.b, b))]
-            ends = {e for _, _, e in spans[0]} | {e for _, _, e in spans[1]}
-            # Each stretch between neighbouring ends of either side is the overlap of one pair.
-            assert sum(len(codes) for _, codes in found) == len(ends)
+        (parts,) = known.align([text]) if text else [None]
+        if parts is None:
+            continue
+        ends = [set(), set()]
+        for side, ids in zip(ends, ([], [])):
+            at = 0
+            for part in known.parts(text):
+                ids = known.a.encode([part])[0] if side is ends[0] else known.b.encode([part], True)[0]
+                spelled = known.a.bytes if side is ends[0] else known.b.bytes
+                for i in ids:
+                    at += len(spelled[i])
+                    side.add(at)
+        # Each stretch between neighbouring ends of either side is the overlap of one pair.
+        assert sum(len(p.codes) // 8 for p in parts) == len(ends[0] | ends[1])
+
+
+def test_parts_are_cut_where_both_tokenizers_cut():
+    known = alignment.Aligner(vocabulary_path(BYTE_LEVEL), vocabulary_path(PIECES))
+    assert known.parts("a b,\nc  d\t e▁ f ") == [
+        " a", " b", ",", "\nc", "  d\t e▁ f", " ",
+    ]
+
+
+def test_whole_texts_align_where_no_cut_is_sure(monkeypatch):
+    known = alignment.Aligner(vocabulary_path(BYTE_LEVEL), vocabulary_path(PIECES))
+    texts = [t for t in texts_of(300, 21) + ODD[:-3] if t]
+    cut = known.align(texts)
+    monkeypatch.setattr(known, "cuts", False)
+    known._known.clear()
+    for text, one, many in zip(texts, known.align(texts), cut):
+        assert (one is None) == (many is None), text
+        if one:
+            assert one[0].groups == ";".join(p.groups for p in many)
+            assert one[0].codes == b"".join(p.codes for p in many)
 
 
 def test_pair_counts_name_the_best(spark):

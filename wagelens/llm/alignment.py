@@ -3,8 +3,12 @@
 A and B encode the same bytes. The ends of A's tokens, as running sums of their lengths, go
 into a dictionary from end to index, and so do B's; the sorted intersection of the two key sets
 cuts both id lists into groups, the smallest slices that cover the same bytes. Within a slice
-every pair of tokens whose byte ranges overlap is a link. Slices repeat, as words do, so each
-worker remembers the links of those it has seen.
+every pair of tokens whose byte ranges overlap is a link.
+
+Both tokenizers cut before a space or line end that follows something else (checked against the
+files), and between a letter and a clause mark, so these places are common ends for certain:
+the dictionaries are built per part between them, and as parts repeat, as words do, each worker
+remembers those it has aligned.
 
 The corpus then says how often each pair of ids is linked. Texts are taken in chunks of
 bounded size. A chunk lists each of its pairs once, with its count; these lists are summed by
@@ -17,11 +21,13 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-from collections import Counter
-from collections.abc import Iterator, Sequence
+import re
+import struct
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache, partial
-from itertools import accumulate, chain
-from operator import itemgetter
+from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +42,22 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 # Characters of text in a chunk, and in one call of a tokenizer. A chunk is at least one text.
 CHUNK_CHARS = 4_000_000
 CALL_CHARS = 500_000
-# Slices a worker remembers, and the most tokens one of them has.
-MEMORY = 200_000
-LONGEST = 8
+# Parts a worker remembers, and the longest it does, in characters.
+MEMORY = 250_000
+LONGEST = 64
 _B_BITS = 32
-
-Ids = tuple[int, ...]
+# Letters of Latin and Cyrillic words, and marks that end or part clauses: between the two both
+# tokenizers cut (in A letters and marks are pieces of their own; B's vocabulary is checked).
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0400-\u0481\u048a-\u04ff"
+_MARKS = ".,;:!?"
+_MARKED = re.compile(f"[{_LETTERS}][{_MARKS}]")
+# A plain word with the space or line end before it; marks behind a letter; else white space and
+# what follows it up to the next space or line end. The model's own mark for a space counts as
+# white space: behind it nothing is cut.
+_PART = re.compile(
+    f"[ \n][{_LETTERS}]+(?=[{_MARKS} \n]|$)|(?<=[{_LETTERS}])[{_MARKS}]+(?=[ \n]|$)"
+    "|[\\s▁]*[^\\s▁]*(?:(?![ \n])[\\s▁]+[^\\s▁]*)*"
+)
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -62,7 +78,11 @@ class ByteLevel:
         self._library.no_padding()
         self._library.encode_special_tokens = True
         with open(path, encoding="utf-8") as file:
-            entries: dict[str, int] = json.load(file)["model"]["vocab"]
+            spec = json.load(file)
+        entries: dict[str, int] = spec["model"]["vocab"]
+        split = spec["pre_tokenizer"] or {}
+        # The library's own split never joins white space to what stands before it.
+        self.cuts = spec["normalizer"] is None and split.get("type") == "ByteLevel" and split.get("use_regex", True)
         alphabet = _byte_alphabet()
         self.bytes = [b""] * (max(entries.values()) + 1)
         for entry, i in entries.items():
@@ -70,8 +90,8 @@ class ByteLevel:
                 bytes(alphabet[c] for c in entry) if all(c in alphabet for c in entry) else entry.encode()
             )
 
-    def encode(self, texts: Sequence[str]) -> list[list[int]]:
-        return [e.ids for e in self._library.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+    def encode(self, parts: Sequence[str]) -> list[list[int]]:
+        return [e.ids for e in self._library.encode_batch_fast(list(parts), add_special_tokens=False)]
 
 
 class Pieces:
@@ -81,18 +101,32 @@ class Pieces:
         from sentencepiece import SentencePieceProcessor
 
         self._library = SentencePieceProcessor(model_file=path)
-        self.bytes = [self._spelled(i) for i in range(self._library.get_piece_size())]
+        numbers = range(self._library.get_piece_size())
+        self.bytes = [self._spelled(i) for i in numbers]
+        # No piece has a space behind something else, holds a line end, or has a mark behind a
+        # letter; and unknown characters are bytes.
+        written = [self._library.id_to_piece(i) for i in numbers if not self._library.is_byte(i)]
+        across = any(re.search("[^▁]▁|\n", p) or _MARKED.search(p) for p in written)
+        self.cuts = any(map(self._library.is_byte, numbers)) and not across
+        self.cuts = self.cuts and self._library.encode("Ａ\nb") == [
+            *self._library.encode("Ａ"), *self._library.encode("\nb")[1:]
+        ]
+        self._mark = len(self._library.encode("\n"))
 
     def _spelled(self, i: int) -> bytes:
         piece = self._library.id_to_piece(i)
         return bytes([int(piece[3:-1], 16)]) if self._library.is_byte(i) else piece.replace("▁", " ").encode()
 
-    def encode(self, texts: Sequence[str]) -> list[list[int]]:
-        return self._library.encode(list(texts), num_threads=1)
+    def encode(self, parts: Sequence[str], cut: bool) -> list[list[int]]:
+        """The ids of parts of a text, or of whole texts, which begin with the space it adds."""
+        if cut:
+            # Behind a line end the model adds no space of its own.
+            return [ids[self._mark :] for ids in self._library.encode(["\n" + p for p in parts], num_threads=1)]
+        return self._library.encode([p[1:] for p in parts], num_threads=1)
 
 
-def links_of(a: Ids, b: Ids, a_bytes: Sequence[bytes], b_bytes: Sequence[bytes]) -> list[tuple[int, int]]:
-    """The pairs of a slice whose byte ranges overlap, in order of their bytes."""
+def links_of(a: Sequence[int], b: Sequence[int], a_bytes: Sequence[bytes], b_bytes: Sequence[bytes]) -> list[tuple[int, int]]:
+    """The pairs of a slice (two lists over the same bytes) whose byte ranges overlap, in order."""
     if len(a) == 1 or len(b) == 1:
         return [(x, y) for x in a for y in b]
     pairs, i, j = [], 0, 0
@@ -112,49 +146,106 @@ def links_of(a: Ids, b: Ids, a_bytes: Sequence[bytes], b_bytes: Sequence[bytes])
             end_b += len(b_bytes[b[j]])
 
 
+class Part(NamedTuple):
+    """An aligned part: its numbers of ids and groups, its groups as text, its links as pair codes."""
+
+    n_a: int
+    n_b: int
+    n_groups: int
+    groups: str
+    codes: bytes
+
+
 class Aligner:
     """One a worker process."""
 
     def __init__(self, a_path: str, b_path: str):
         self.a, self.b = ByteLevel(a_path), Pieces(b_path)
+        self.cuts = self.a.cuts and self.b.cuts
         self._a_size = list(map(len, self.a.bytes))
         self._b_size = list(map(len, self.b.bytes))
-        self._known: dict[tuple[Ids, Ids], tuple[str, list[int]]] = {}
-
-    def encode(self, texts: Sequence[str]) -> list[tuple[list[int], list[int]]]:
-        """Both tokenizers' ids; none for a text whose bytes one of them does not give back."""
-        out = []
-        a_bytes, b_bytes = self.a.bytes.__getitem__, self.b.bytes.__getitem__
-        for text, a, b in zip(texts, self.a.encode(texts), self.b.encode(texts)):
-            raw = b" " + text.encode()
-            same = b"".join(map(a_bytes, a)) == raw and b"".join(map(b_bytes, b)) == raw
-            out.append((a, b) if same else ([], []))
-        return out
-
-    def groups(self, a: list[int], b: list[int]) -> Iterator[tuple[Ids, Ids]]:
-        """Both lists, cut where a token of A and one of B end at the same byte.
-
-        One at a time: thousands of tuples at once would keep Python's collector busy.
-        """
-        ends_a = dict(zip(accumulate(map(self._a_size.__getitem__, a)), range(1, len(a) + 1)))
-        ends_b = dict(zip(accumulate(map(self._b_size.__getitem__, b)), range(1, len(b) + 1)))
-        common = sorted(ends_a.keys() & ends_b.keys())
-        to_a, to_b = list(map(ends_a.__getitem__, common)), list(map(ends_b.__getitem__, common))
-        a, b = tuple(a), tuple(b)
-        return ((a[i:j], b[k:m]) for i, j, k, m in zip([0, *to_a], to_a, [0, *to_b], to_b))
-
-    def linked(self, group: tuple[Ids, Ids]) -> tuple[str, list[int]]:
-        """A group as text, and its links as pair codes."""
-        found = self._known.get(group)
-        if found is None:
-            a, b = group
-            pairs = links_of(a, b, self.a.bytes, self.b.bytes)
-            found = f"{','.join(map(str, a))}|{','.join(map(str, b))}", [x << _B_BITS | y for x, y in pairs]
-            if len(a) + len(b) <= LONGEST:
-                if len(self._known) >= MEMORY:
-                    self._known.clear()
-                self._known[group] = found
-        return found
+        # What was used lately, and what was used before that.
+        self._known: dict[str, Part | None] = {}
+        self._older: dict[str, Part | None] = {}
+
+    def parts(self, text: str) -> list[str]:
+        # The pattern also matches nothing, at the end.
+        return _PART.findall(" " + text)[:-1] if self.cuts else [" " + text]
+
+    def align(self, texts: Sequence[str]) -> list[list[Part] | None]:
+        """Each text's aligned parts; None where one tokenizer does not give back its bytes."""
+        split = list(map(self.parts, texts))
+        if len(self._known) > MEMORY // 2:
+            self._older, self._known = self._known, {}
+        known, older = self._known, self._older
+        fresh = {p for parts in split for p in parts if p not in known}
+        known.update((p, older[p]) for p in fresh if p in older)
+        missing = [p for p in fresh if p not in older]
+        known.update(zip(missing, self._aligned(missing)))
+        out = [list(map(known.__getitem__, parts)) for parts in split]
+        for part in missing:
+            if len(part) > LONGEST:
+                del known[part]
+        return [None if None in parts else parts for parts in out]
+
+    def _aligned(self, parts: list[str]) -> Iterator[Part | None]:
+        """The parts aligned, in their order."""
+        # Parts that begin and end as words do can stand behind each other in one call of A's library.
+        plain = [p for p in parts if p[0] in " \n" and not p[-1].isspace() and "▁" not in p] if self.cuts else []
+        text = "".join(plain)
+        ends = np.cumsum([len(p.encode()) for p in plain])
+        a = dict(zip(plain, _sliced(self.a.encode([text])[0], self._a_size, ends) if plain else []))
+        others = [p for p in parts if p not in a]
+        a.update(zip(others, self.a.encode(others)))
+        for part, y in zip(parts, self.b.encode(parts, self.cuts) if parts else []):
+            x = a[part]
+            same = self._given_back(part, x, self.a) and self._given_back(part, y, self.b)
+            yield self.part(x, y) if same else None
+
+    @staticmethod
+    def _given_back(text: str, ids: Iterable[int], tokenizer: ByteLevel | Pieces) -> bool:
+        return b"".join(map(tokenizer.bytes.__getitem__, ids)) == text.encode()
+
+    def part(self, a: list[int], b: list[int]) -> Part:
+        """Both lists, cut where a token of A and one of B end at the same byte."""
+        if len(a) == len(b) == 1:
+            return Part(1, 1, 1, f"{a[0]}|{b[0]}", _PACKED(a[0] << _B_BITS | b[0]))
+        ends_a, ends_b = _ends(a, self._a_size), _ends(b, self._b_size)
+        lines, codes, i, k = [], [], 0, 0
+        for end in sorted(ends_a.keys() & ends_b.keys()):
+            j, m = ends_a[end], ends_b[end]
+            if j - i == m - k == 1:
+                lines.append(f"{a[i]}|{b[k]}")
+                codes.append(a[i] << _B_BITS | b[k])
+            else:
+                x, y = a[i:j], b[k:m]
+                lines.append(f"{','.join(map(str, x))}|{','.join(map(str, y))}")
+                codes += [p << _B_BITS | q for p, q in links_of(x, y, self.a.bytes, self.b.bytes)]
+            i, k = j, m
+        return Part(len(a), len(b), len(lines), ";".join(lines), array("q", codes).tobytes())
+
+
+_PACKED = struct.Struct("=q").pack
+
+
+def _ends(ids: list[int], size: list[int]) -> dict[int, int]:
+    """From each token's end, in bytes, to how many tokens end there or before."""
+    ends, at = {}, 0
+    for n, i in enumerate(ids, 1):
+        at += size[i]
+        ends[at] = n
+    return ends
+
+
+def _sliced(ids: list[int], size: list[int], ends: np.ndarray) -> list[list[int]]:
+    """The ids of texts that were encoded behind each other and end at these bytes; none if a token
+    reaches across an end."""
+    found = np.cumsum(np.array(size)[ids])
+    at = np.searchsorted(found, ends) + 1
+    if at[-1] != len(ids) or (found[at - 1] != ends).any():
+        return []
+    cuts = [0, *at.tolist()]
+    return [ids[i:j] for i, j in zip(cuts, cuts[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -178,41 +269,38 @@ _CHUNK_SQL = (
 
 
 class _Chunk:
-    """Documents under way to one row. A document's links are (index of the pair, times) pairs."""
+    """Documents under way to one row. A document's links are (pair, times); pairs are numbered
+    when the chunk is complete."""
 
     def __init__(self):
         self.docs: list[dict] = []
-        self.links: list[np.ndarray] = []
-        self.index: dict[int, int] = {}
-        self.counts: list[int] = []
+        self.codes: list[np.ndarray] = []
+        self.times: list[np.ndarray] = []
         self.chars = 0
 
-    def add(self, doc_id: int | None, a: list[int], b: list[int], known: Aligner) -> None:
-        found = list(map(known.linked, known.groups(a, b))) if a else []
-        digest = hashlib.sha256(";".join(map(itemgetter(0), found)).encode()).hexdigest() if a else ""
-        times = Counter(chain.from_iterable(map(itemgetter(1), found)))
-        index, counts = self.index, self.counts
-        places = []
-        for code, n in times.items():
-            at = index.get(code)
-            if at is None:
-                at = index[code] = len(counts)
-                counts.append(n)
-            else:
-                counts[at] += n
-            places.append(at)
-        own = np.array([places, list(times.values())], dtype="<u4")
-        self.links.append(own)
+    def add(self, doc_id: int | None, parts: list[Part] | None) -> None:
+        parts = parts or []
+        n_a, n_b, n_groups, groups, codes = zip(*parts) if parts else ((), (), (), (), ())
+        digest = hashlib.sha256(";".join(groups).encode()).hexdigest() if parts else ""
+        links = np.frombuffer(b"".join(codes), "<i8")
+        pairs, times = np.unique(links, return_counts=True)
+        self.codes.append(pairs)
+        self.times.append(times)
         self.docs.append({
-            "doc_id": doc_id, "n_a": len(a), "n_b": len(b), "n_groups": len(found),
-            "n_links": times.total(), "n_pairs": len(times), "groups_sha256": digest,
+            "doc_id": doc_id, "n_a": sum(n_a), "n_b": sum(n_b), "n_groups": sum(n_groups),
+            "n_links": len(links), "n_pairs": len(pairs), "groups_sha256": digest,
         })
 
     def row(self, number: int) -> pa.RecordBatch:
-        links = np.concatenate(self.links, axis=1).tobytes()
-        pairs = [{"code": code, "n": n} for code, n in zip(self.index, self.counts)]
-        values = (number, self.docs, links, pairs)
-        return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _CHUNK)], schema=_CHUNK)
+        times = np.concatenate(self.times)
+        codes, index = np.unique(np.concatenate(self.codes), return_inverse=True)
+        counts = np.zeros(len(codes), np.int64)
+        np.add.at(counts, index, times)
+        links = np.stack([index, times]).astype("<u4").tobytes()
+        pairs = pa.StructArray.from_arrays([pa.array(codes, pa.int64()), pa.array(counts, pa.int64())], fields=list(_PAIR))
+        arrays = [pa.array([v], f.type) for v, f in zip((number, self.docs, links), _CHUNK)]
+        arrays.append(pa.ListArray.from_arrays(pa.array([0, len(codes)], pa.int32()), pairs))
+        return pa.RecordBatch.from_arrays(arrays, schema=_CHUNK)
 
 
 def _calls(batch: pa.RecordBatch, chars: int) -> Iterator[tuple[list[int | None], list[str]]]:
@@ -235,9 +323,9 @@ def _chunks(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str, chunk_c
     for batch in batches:
         for ids, texts in _calls(batch, min(CALL_CHARS, chunk_chars)):
             full = [t for t in texts if t]
-            encoded = iter(known.encode(full) if full else [])
+            aligned = iter(known.align(full))
             for doc_id, text in zip(ids, texts):
-                chunk.add(doc_id, *(next(encoded) if text else ([], [])), known)
+                chunk.add(doc_id, next(aligned) if text else None)
                 chunk.chars += len(text)
             if chunk.chars >= chunk_chars:
                 yield chunk.row(number)
