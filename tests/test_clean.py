@@ -8,7 +8,10 @@ from wagelens.plans import clean as cleaning
 from wagelens.plans import ledger
 
 
-def one(filings, types=None, **override):
+# ---- fixed values: the wages, units and dates below are acceptance cases ----------
+
+
+def cleaned_row(filings, types=None, **override):
     rows = cleaning.clean(filings(override, types=types)).collect()
     assert len(rows) == 1
     return rows[0]
@@ -19,46 +22,46 @@ def one(filings, types=None, **override):
     (4_000.0, "Bi-Weekly", 104_000.0), (100_000.0, "Year", 100_000.0),
 ])
 def test_annualized_by_unit(filings, wage, unit, expected):
-    row = one(filings, WAGE_RATE_OF_PAY_FROM=wage, WAGE_UNIT_OF_PAY=unit)
+    row = cleaned_row(filings, WAGE_RATE_OF_PAY_FROM=wage, WAGE_UNIT_OF_PAY=unit)
     assert row.annual_wage == expected and not row.unit_repaired
 
 
 def test_annual_figure_filed_as_hourly_is_repaired(filings):
-    row = one(filings, WAGE_RATE_OF_PAY_FROM=173_104.0, WAGE_UNIT_OF_PAY="Hour")
+    row = cleaned_row(filings, WAGE_RATE_OF_PAY_FROM=173_104.0, WAGE_UNIT_OF_PAY="Hour")
     assert row.annual_wage == 173_104.0 and row.unit_repaired
 
 
 def test_one_repair_decision_for_both_ends(filings):
-    row = one(filings, WAGE_RATE_OF_PAY_FROM=150_000.0, WAGE_RATE_OF_PAY_TO=170_000.0, WAGE_UNIT_OF_PAY="Hour")
+    row = cleaned_row(filings, WAGE_RATE_OF_PAY_FROM=150_000.0, WAGE_RATE_OF_PAY_TO=170_000.0, WAGE_UNIT_OF_PAY="Hour")
     assert (row.annual_from, row.annual_to, row.annual_wage) == (150_000.0, 170_000.0, 160_000.0)
 
 
-def test_outlier_is_judged_on_the_midpoint(filings):
-    row = one(filings, WAGE_RATE_OF_PAY_TO=9_000_000.0)
+def test_a_wide_band_is_flagged_by_its_middle(filings):
+    row = cleaned_row(filings, WAGE_RATE_OF_PAY_TO=9_000_000.0)
     assert row.annual_wage == 4_550_000.0 and row.is_outlier
 
 
 def test_five_million_is_an_outlier_and_no_unit_error(filings):
-    row = one(filings, WAGE_RATE_OF_PAY_FROM=5_000_000.0)
+    row = cleaned_row(filings, WAGE_RATE_OF_PAY_FROM=5_000_000.0)
     assert row.is_outlier and not row.unit_repaired
 
 
 @pytest.mark.parametrize("wage", [None, 0.0])
 def test_missing_and_zero_wages_are_kept_and_flagged(filings, wage):
-    row = one(filings, WAGE_RATE_OF_PAY_FROM=wage)
+    row = cleaned_row(filings, WAGE_RATE_OF_PAY_FROM=wage)
     assert row.annual_wage == wage and row.is_outlier is True
 
 
 def test_prevailing_wage_has_its_own_repair_and_flag(filings):
-    row = one(filings, PREVAILING_WAGE=173_104.0, PW_UNIT_OF_PAY="Hour")
+    row = cleaned_row(filings, PREVAILING_WAGE=173_104.0, PW_UNIT_OF_PAY="Hour")
     assert row.prevailing_wage == 173_104.0 and row.pw_repaired
-    row = one(filings, WAGE_RATE_OF_PAY_FROM=200_000.0, PREVAILING_WAGE=9_565_244.0)
+    row = cleaned_row(filings, WAGE_RATE_OF_PAY_FROM=200_000.0, PREVAILING_WAGE=9_565_244.0)
     assert not row.is_outlier and row.pw_outlier
 
 
 def test_text_wages_parse_and_flags_are_not_null(filings):
     text = {"WAGE_RATE_OF_PAY_FROM": "string", "PREVAILING_WAGE": "string"}
-    row = one(filings, text, WAGE_RATE_OF_PAY_FROM="100000", PREVAILING_WAGE="95000")
+    row = cleaned_row(filings, text, WAGE_RATE_OF_PAY_FROM="100000", PREVAILING_WAGE="95000")
     assert row.annual_wage == 100_000.0
     assert [row.is_outlier, row.pw_outlier, row.unit_repaired, row.pw_repaired] == [False] * 4
 
@@ -86,17 +89,17 @@ def test_tech_only(filings):
 
 
 def test_missing_decision_falls_back_to_received(filings):
-    row = one(filings, DECISION_DATE=None, RECEIVED_DATE=dt.date(2025, 11, 1))
+    row = cleaned_row(filings, DECISION_DATE=None, RECEIVED_DATE=dt.date(2025, 11, 1))
     assert row.fiscal_year == 2026 and row.decision_date is None
 
 
-def test_fallback_year_is_floored(filings):
-    row = one(filings, DECISION_DATE=None, RECEIVED_DATE=dt.date(2023, 3, 21))
+def test_a_year_from_the_received_date_is_not_before_the_first(filings):
+    row = cleaned_row(filings, DECISION_DATE=None, RECEIVED_DATE=dt.date(2023, 3, 21))
     assert row.fiscal_year == fixed.EARLIEST_FISCAL_YEAR
 
 
 def test_place_is_normalized_and_missing_full_time_is_false(filings):
-    row = one(filings, FULL_TIME_POSITION=None)
+    row = cleaned_row(filings, FULL_TIME_POSITION=None)
     assert (row.worksite_city, row.worksite_state, row.full_time) == ("Austin", "TX", False)
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wagelens.operators import checks, constraints, latest, positions, quantiles, summaries
+from wagelens.operators import checks, constraints, joins, latest, positions, quantiles, summaries
 
 FRACTIONS = {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
 
@@ -256,3 +256,31 @@ def test_constraints_find_what_breaks_them(spark):
         ("unique", "child", "id"): (1, 2), ("unique", "parent", "name"): (1, 2),
         ("reference", "child", "parent_id"): (1, 2),
     }
+
+
+def test_a_key_with_a_third_of_the_rows_is_spread(spark):
+    hot, n = "hot", 3000
+    rows = [(i, hot if i % 3 == 0 else f"k{i % 701}", None if i % 50 == 7 else "x") for i in range(n)]
+    left = spark.createDataFrame(rows, "serial bigint, name string, place string")
+    names = left.select("name", "place").distinct().withColumn("id", F.monotonically_increasing_id())
+    found = joins.frequent_values(left, {"name": F.col("name"), "place": F.col("place")}, 0.05)
+    assert hot in found["name"] and len(found["name"]) <= 20 and found["place"] == ["x"]
+    texts = [joins.key_text([F.lit(hot), F.lit("x")])]
+    (key,) = spark.range(1).select(*texts).first()
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        sizes = {}
+        for frequent in ([], [key]):
+            joined = joins.spread_join(left, names, ["name", "place"], frequent, F.col("serial"), 4)
+            plain = left.join(names, left.name.eqNullSafe(names.name) & left.place.eqNullSafe(names.place)).count()
+            assert joined.where("id is not null").count() == plain == n
+            per_task = joined.groupBy(F.spark_partition_id().alias("t")).count().collect()
+            sizes[bool(frequent)] = sorted(r["count"] for r in per_task)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(sizes[True]) <= 2 * np.median(sizes[True]) < max(sizes[False]) * 2
+    assert max(sizes[False]) > max(sizes[True])

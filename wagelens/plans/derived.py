@@ -5,7 +5,8 @@ escapes, case and space variants, missing places and dates, all five units, misl
 units, bands, outliers on both sides, dropped statuses, and cases published twice. It
 runs unchanged in Spark and in an ANSI engine, so both sides of a check read the same
 filings. Order keys past six digits carry over into the day part of the case number,
-which keeps case numbers unique however many orders there are.
+which keeps case numbers unique; its five digits hold keys up to 74,999,999,999, and a larger one
+makes a malformed number, which the cleaning rules refuse.
 """
 
 from __future__ import annotations

@@ -6,11 +6,10 @@ Lookup ids are dense, start at 0 and follow first appearance in case-number orde
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from functools import partial, reduce
-from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +20,7 @@ from wagelens.functions import wages
 from wagelens.functions.cases import case_day, case_number, case_order, case_prefix, case_serial
 from wagelens.operators.checks import duplicate_keys, null_counts, orphan_report, schema_differences
 from wagelens.operators.constraints import REFERENCE, UNIQUE, Constraint, broken_constraints, not_null
+from wagelens.operators.joins import frequent_values, key_text, spread_join
 from wagelens.operators.positions import bucketed_positions
 from wagelens.operators.summaries import unpivot_counts
 from wagelens.sources.sinks import verify_rows
@@ -167,19 +167,21 @@ def block_bits(n_rows: int) -> int:
     return min(_MOST_BITS, (max(0, n_rows - 1) // BLOCK_ROWS).bit_length())
 
 
-def _with_id(df: DataFrame, lookup: DataFrame, id_column: str, keys: Sequence[str]) -> DataFrame:
-    """Attach the id and let go of the key text. Null keys match null keys."""
-    renamed = lookup.select(id_column, *[F.col(k).alias(k + "__l") for k in keys])
-    match = reduce(and_, [F.col(k).eqNullSafe(F.col(k + "__l")) for k in keys])
-    return df.join(renamed, match, "left").drop(*keys, *[k + "__l" for k in keys])
+def frequent_keys(source: DataFrame, tasks: int) -> dict[str, list]:
+    """Per lookup the keys that hold more than half a task's share of the filings."""
+    columns = {name: key_text([F.col(k) for k in keys]) for name, _, keys, _ in LOOKUPS}
+    return frequent_values(source, columns, 1 / (2 * tasks))
 
 
-def fact_of(source: DataFrame, lookups: dict[str, DataFrame]) -> DataFrame:
-    """The fact and its keys. Text is replaced by ids one lookup at a time.
+def fact_of(
+    source: DataFrame, lookups: dict[str, DataFrame], frequent: Mapping[str, Sequence[str]] | None = None
+) -> DataFrame:
+    """The fact and its keys. Text is replaced by ids one lookup at a time; null keys match null keys.
 
-    Catalyst broadcasts a lookup by its stored size and shuffles it beyond the
-    threshold; a frequent employer or title is then split by adaptive skew handling.
+    Catalyst broadcasts a lookup by its stored size and shuffles it beyond the threshold. The
+    rows of ``frequent`` keys are then dealt over all tasks.
     """
+    parts = int(source.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = sorted({k for _, _, ks, _ in LOOKUPS for k in ks})
     number = F.col("case_number")
     facts = source.select(
@@ -200,7 +202,9 @@ def fact_of(source: DataFrame, lookups: dict[str, DataFrame]) -> DataFrame:
         "pw_repaired",
     )
     for name, id_column, lookup_keys, _ in LOOKUPS:
-        facts = _with_id(facts, lookups[name], id_column, lookup_keys)
+        ids = lookups[name].select(id_column, *lookup_keys)
+        hot = (frequent or {}).get(name, ())
+        facts = spread_join(facts, ids, lookup_keys, hot, F.col("case_serial"), parts).drop(*lookup_keys)
     return facts.select(*FACT_COLUMNS, *KEY_COLUMNS)
 
 
@@ -251,7 +255,9 @@ def _write_run(cleaned: DataFrame, n_rows: int, folder: str) -> None:
         name: spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}") for name, *_ in LOOKUPS
     }
 
-    write_fact(fact_of(source, lookups), f"{folder}/filings", bits)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    facts = fact_of(source, lookups, frequent_keys(source, tasks))
+    write_fact(facts, f"{folder}/filings", bits)
     star = _open_run(spark, folder, bits)
     # Sorted, so that a prefix is a range of row groups.
     search = title_counts(star.filings, star.titles).orderBy("folded")
@@ -409,7 +415,10 @@ def status_of(withdrawn: Column) -> Column:
 
 
 def joined_view(star: Star) -> DataFrame:
-    """Everything joined, with the case number and the status text rebuilt."""
+    """Everything joined, with the case number and the status text rebuilt.
+
+    The columns and their order are fixed values.
+    """
     joined = (
         star.filings.join(star.employers, "employer_id")
         .join(star.occupations, "soc_id")

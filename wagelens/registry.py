@@ -17,10 +17,10 @@ from wagelens.operators.positions import positions_within
 from wagelens.operators.quantiles import count_over, grouped_quantiles, quantile_over, ranked_quantiles
 from wagelens.plans import clean as cleaning
 from wagelens.plans import ledger, profile, questions, star
-from wagelens.plans.derived import EARLIEST_YEAR, derived_filings
+from wagelens.plans.derived import EARLIEST_YEAR, SOURCES, derived_filings
 from wagelens.session import staging_path
 from wagelens.sources import filings as sources
-from wagelens.sources import sinks
+from wagelens.sources import sinks, versions
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,12 +43,18 @@ def _cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning.clean(_raw(spark, sf_dir), earliest_year=EARLIEST_YEAR)
 
 
-_stars: dict[tuple[str, str], star.Star] = {}
+_stars: dict[tuple, star.Star] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple[int, ...]:
+    """When each table that the filings derive from was last written."""
+    found = [versions.file_system(spark, f"{sf_dir}/{name}.parquet") for name in SOURCES]
+    return tuple(files.getFileStatus(place).getModificationTime() for files, place in found)
 
 
 def built_star(spark: SparkSession, sf_dir: str) -> star.Star:
-    """The star of a data folder: written once per session, then read from its files."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The star of a data folder: written once per session and state of its tables, then read."""
+    key = (spark.sparkContext.applicationId, sf_dir, _state(spark, sf_dir))
     if key not in _stars:
         root = staging_path(spark, "star")
         cleaned = f"{root}/cleaned"
