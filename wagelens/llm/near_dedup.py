@@ -1,13 +1,15 @@
 """Near-duplicate documents: MinHash, banding, verification and connected components.
 
 Documents with the same set of shingles form one class, so exact copies cost nothing further.
-Classes that agree in a band are compared in three steps, each among what is not yet in one
+Classes that agree in a band are compared in steps, each among what is not yet in one
 component. First each class with the smallest of its bucket, which links large groups of
-copies at the cost of one row per class; then with another member of the bucket, drawn for
+copies at the cost of one row per class; then with other members of the bucket, drawn for
 each band; last, in buckets where several components are left, the members outside the
-largest component with all members of other components. Every pair of a bucket is thereby
-either in one component or compared, without caps and without writing out the pairs of a
-group of copies. Pairs whose signatures differ too much leave inside the joins.
+largest component with all members of other components. Inside a step a class is first
+compared with the one it shares most bands with, and only then, where that has not put them
+into one component, with the others. Every pair of a bucket is thereby either in one component
+or compared, without caps and without writing out the pairs of a group of copies. Pairs whose
+signatures differ too much leave before their texts are read.
 """
 
 from __future__ import annotations
@@ -26,8 +28,13 @@ from pyspark.sql import functions as F
 from wagelens.llm.components import components
 from wagelens.session import staged
 
-# 50 bands of 6: a pair at similarity 0.8 shares no band with a chance below 3 in 10 million.
-BANDS, ROWS = 50, 6
+# 45 bands of 7: a pair at similarity 0.8 shares no band with a chance of 3 in 100,000, one at 0.85
+# of 1 in 10 million; a pair at 0.2 shares one with a chance of 6 in 10,000.
+BANDS, ROWS = 45, 7
+# Draws of a partner for each class before all that is left is compared.
+DRAWS = 1
+# Deviations that a pair's signature bits may be off: 3 in a million similar pairs are further off.
+_DEVIATIONS = 4.5
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _SIGNED = "id bigint, n bigint, class binary, bands array<bigint>, bits array<bigint>"
 _BITS = BANDS * ROWS
@@ -35,9 +42,9 @@ _BITS = BANDS * ROWS
 
 def _most_differing(percent: int) -> int:
     """Signatures keep a bit of each minimum. A pair at the similarity asked for differs in
-    half of the minima that differ; six deviations more are let through."""
+    half of the minima that differ; some deviations more are let through."""
     share = (1 - percent / 100) / 2
-    return int(_BITS * share + 6 * (_BITS * share * (1 - share)) ** 0.5) + 1
+    return int(_BITS * share + _DEVIATIONS * (_BITS * share * (1 - share)) ** 0.5) + 1
 
 
 def _alike(percent: int) -> Column:
@@ -166,18 +173,21 @@ def near_duplicates(docs: DataFrame, width: int, percent: int = 80) -> DataFrame
     members = staged(filled.select("id", "class").join(classes.select("class", "head"), "class").select("id", "head"), "members")
     # The rows of a class have the same bands; those of its first row serve.
     firsts = filled.join(classes.select("class", F.col("head").alias("id")), ["class", "id"], "left_semi")
-    banded = firsts.select("id", "n", F.explode("bands").alias("band")).distinct()
+    banded = firsts.select("id", F.explode("bands").alias("band")).distinct()
     shared = banded.groupBy("band").agg(F.min("id").alias("other"), F.max("id").alias("last"))
     shared = staged(shared.where("other != last").select("band", "other"), "shared_bands")
     buckets = staged(banded.join(shared, "band"), "buckets")
     heads = classes.select(F.col("head").alias("id"), "n", "bits")
-    buckets = staged(buckets.drop("n").join(heads, "id"), "bucket_members")
 
-    links = _verified(_first_pairs(buckets, heads, percent), named, width, percent)
-    reached = staged(components(links), "merged")
-    for pairs in (_drawn_pairs, _other_pairs):
-        links = _verified(pairs(_open_buckets(buckets, reached), percent), named, width, percent)
-        reached = staged(_joined(reached, links), "merged")
+    settle = partial(_settled, docs=named, width=width, percent=percent)
+    first = buckets.where("id != other").select(F.col("id").alias("u"), F.col("other").alias("v"))
+    reached = settle(_promising(first, heads, percent), None)
+    opened = buckets.select("band", "id")
+    for draw in range(DRAWS):
+        opened = _open_buckets(opened, reached)
+        reached = settle(_promising(_drawn_pairs(opened, draw), heads, percent), reached)
+    opened = _open_buckets(opened, reached).join(heads, "id")
+    reached = settle(_other_pairs(opened, percent), reached)
 
     own = members.join(reached.withColumnRenamed("node", "head"), "head", "left").select(
         "id", F.coalesce("component", "head").alias("component")
@@ -203,18 +213,46 @@ def _map(found: DataFrame) -> DataFrame:
     return found.select("node", "component")
 
 
-def _first_pairs(buckets: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
-    """Every class with the smallest of each of its buckets."""
-    pairs = buckets.where("id != other").select("id", "n", "bits", "other").dropDuplicates(["id", "other"])
-    theirs = heads.select(F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("bits").alias("other_bits"))
-    return pairs.join(theirs, "other").where(_alike(percent)).select(
-        F.col("id").alias("u"), F.col("other").alias("v")
-    )
+def _promising(pairs: DataFrame, heads: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``u, v`` whose sizes and signatures are alike, with the bands they share."""
+    counted = pairs.groupBy("u", "v").agg(F.count(F.lit(1)).alias("shared"))
+    ours = heads.select(F.col("id").alias("u"), "n", "bits")
+    theirs = heads.select(F.col("id").alias("v"), F.col("n").alias("other_n"), F.col("bits").alias("other_bits"))
+    return counted.join(ours, "u").join(theirs, "v").where(_alike(percent)).select("u", "v", "shared")
+
+
+def _apart(pairs: DataFrame, merged: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components, with these."""
+    pairs = pairs.select("u", "v", "shared")
+    for end in ("u", "v"):
+        found = merged.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
+        pairs = pairs.join(found, end, "left").withColumn(f"{end}_in", F.coalesce(f"{end}_in", end))
+    return pairs.where("u_in != v_in")
+
+
+def _settled(
+    pairs: DataFrame, merged: DataFrame | None, docs: DataFrame, width: int, percent: int
+) -> DataFrame:
+    """The components after all of ``pairs (u, v, shared)`` are compared or in one component.
+
+    Each u is compared with the v it shares most bands with, then each two components by the pair
+    that shares most bands between them. The members of a group of copies are in one component
+    after that; all pairs that are still apart are compared last.
+    """
+    left = staged(pairs, "candidates")
+    best = left.groupBy("u").agg(F.max(F.struct("shared", "v")).alias("best")).select("u", F.col("best.v").alias("v"))
+    for _ in range(2):
+        best = staged(best, "best")
+        merged = staged(_joined(merged, _verified(best, docs, width, percent)), "merged")
+        left = staged(_apart(left.join(best, ["u", "v"], "left_anti"), merged), "apart")
+        between = left.groupBy(F.least("u_in", "v_in").alias("x"), F.greatest("u_in", "v_in").alias("y"))
+        best = between.agg(F.max(F.struct("shared", "u", "v")).alias("best")).select("best.u", "best.v")
+    return staged(_joined(merged, _verified(left.select("u", "v"), docs, width, percent)), "merged")
 
 
 def _open_buckets(buckets: DataFrame, merged: DataFrame) -> DataFrame:
     """The members of buckets with several components, and their largest component."""
-    grouped = buckets.select("id", "n", "bits", "band").join(merged.withColumnRenamed("node", "id"), "id", "left")
+    grouped = buckets.select("id", "band").join(merged.withColumnRenamed("node", "id"), "id", "left")
     grouped = staged(grouped.withColumn("component", F.coalesce("component", "id")), "grouped")
     sizes = grouped.groupBy("band", "component").agg(F.count(F.lit(1)).alias("size"))
     largest = sizes.groupBy("band").agg(
@@ -224,37 +262,34 @@ def _open_buckets(buckets: DataFrame, merged: DataFrame) -> DataFrame:
     return staged(grouped.join(largest, "band"), "open_buckets")
 
 
-def _others(members: DataFrame) -> DataFrame:
-    return members.select(
-        "band", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("bits").alias("other_bits"),
-        F.col("component").alias("other_component"),
-    )
-
-
-def _drawn_pairs(opened: DataFrame, percent: int) -> DataFrame:
+def _drawn_pairs(opened: DataFrame, draw: int) -> DataFrame:
     """Every class with a member of each of its open buckets that the band's hash draws."""
-    draw = F.struct(F.xxhash64("band", "id"), "id", "n", "bits", "component")
-    drawn = opened.groupBy("band").agg(F.min(draw).alias("drawn")).select("band", "drawn.*")
-    return _different(opened, staged(_others(drawn), "drawn"), percent)
+    order = F.struct(F.xxhash64("band", "id", F.lit(draw)), "id", "component")
+    drawn = opened.groupBy("band").agg(F.min(order).alias("drawn"))
+    drawn = staged(drawn.select("band", F.col("drawn.id").alias("other"), F.col("drawn.component").alias("other_in")), "drawn")
+    return opened.join(drawn, "band").where("component != other_in").select(
+        F.greatest("id", "other").alias("u"), F.least("id", "other").alias("v")
+    )
 
 
 def _other_pairs(opened: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket in different components. One end is outside the largest."""
-    outside = _others(opened.where("component != top"))
+    """Pairs of a bucket in different components, with the bands they share. One end is outside
+    the largest."""
+    outside = opened.where("component != top").select(
+        "band", F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("bits").alias("other_bits"),
+        F.col("component").alias("other_in"),
+    )
     once = (F.col("component") == F.col("top")) | (F.col("id") < F.col("other"))
-    return _different(opened, outside, percent, once)
-
-
-def _different(opened: DataFrame, others: DataFrame, percent: int, once: Column | None = None) -> DataFrame:
-    apart = _alike(percent) & (F.col("component") != F.col("other_component"))
-    return (
-        opened.join(others, "band").where(apart if once is None else apart & once)
-        .select(F.greatest("id", "other").alias("u"), F.least("id", "other").alias("v")).distinct()
+    found = opened.join(outside, "band").where(_alike(percent) & (F.col("component") != F.col("other_in")) & once)
+    return found.groupBy(F.greatest("id", "other").alias("u"), F.least("id", "other").alias("v")).agg(
+        F.count(F.lit(1)).alias("shared")
     )
 
 
-def _joined(merged: DataFrame, links: DataFrame) -> DataFrame:
-    """The components ``merged`` with further links between them."""
+def _joined(merged: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components ``merged``, none at first, with further links between them."""
+    if merged is None:
+        return components(links)
     named = links
     for end in ("u", "v"):
         found = merged.select(F.col("node").alias(end), F.col("component").alias("found"))
@@ -270,6 +305,8 @@ def without_near_duplicates(
 ) -> DataFrame:
     """``docs`` with one document, that of the smallest doc_id, of each group; columns stay.
 
+    Rows that repeat both id and text are one document and leave one row, null ids and texts
+    included. Rows without an id are linked with nothing else, so their other near copies stay.
     With ``before``, the rows as they were before passages were cut out of them, near copies
     of which only a rest is left are found by their whole texts as well.
     """
@@ -280,4 +317,5 @@ def without_near_duplicates(
         texts = texts.union(before.select("doc_id", "text").join(now, "doc_id").where(changed).select("doc_id", "text"))
     found = near_duplicates(texts, width, percent)
     gone = found.where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    once = docs.dropDuplicates(["doc_id", "text"])
+    return once.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
