@@ -178,7 +178,7 @@ class Aligner:
         if len(self._known) > MEMORY // 2:
             self._older, self._known = self._known, {}
         known, older = self._known, self._older
-        fresh = {p for parts in split for p in parts if p not in known}
+        fresh = set(chain.from_iterable(split)).difference(known)
         known.update((p, older[p]) for p in fresh if p in older)
         missing = [p for p in fresh if p not in older]
         known.update(zip(missing, self._aligned(missing)))

@@ -15,15 +15,16 @@ from __future__ import annotations
 import json
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 MEMORY = 250_000
-_BATCH = 4_096
+_BATCH = 50_000
 _WORDS_AT_ONCE = 200_000
 # White space as the tokenizer sees it. str.split() also splits at the four separators
 # U+001C to U+001F, so texts that hold one are split by this pattern.
@@ -96,12 +97,32 @@ def encoder(kind: type, path: str):
     return kind(vocabulary(path))
 
 
+class Memory:
+    """What a worker remembers, in two generations: used lately, and used before that. When the
+    first is half of ``size`` it becomes the second, so what is used often is never learned again."""
+
+    def __init__(self):
+        self.recent: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+
+    def provide(self, keys: Iterable[str], size: int, learn: Callable[[list[str]], Iterable[bytes]]) -> dict[str, bytes]:
+        """A dictionary that holds all of ``keys``, which may repeat."""
+        if len(self.recent) > size // 2:
+            self._older, self.recent = self.recent, {}
+        recent, older = self.recent, self._older
+        absent = set(keys).difference(recent)
+        recent.update((k, older[k]) for k in absent if k in older)
+        new = [k for k in absent if k not in older]
+        recent.update(zip(new, learn(new)))
+        return recent
+
+
 class _Remembering:
     memory = MEMORY
 
     def __init__(self, known: Vocabulary):
         self.known = known
-        self._memory: dict[str, bytes] = {}
+        self._memory = Memory()
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Each text's ids as little-endian 32-bit integers; a null text has none."""
@@ -115,29 +136,28 @@ class _Remembering:
         yield from self._encode(group)
 
     def _encode(self, group: list[list[str]]) -> Iterator[bytes]:
-        if len(self._memory) > self.memory:
-            self._memory.clear()
-        known = self._memory
-        found = [list(map(known.get, words)) for words in group]
-        gaps = [i for i, ids in enumerate(found) if None in ids]
-        self._learn(list(dict.fromkeys(w for i in gaps for w, ids in zip(group[i], found[i]) if ids is None)))
-        for i in gaps:
-            found[i] = map(known.__getitem__, group[i])
-        yield from map(b"".join, found)
-
-    def _learn(self, words: list[str]) -> None:
+        known = self._memory.provide(chain.from_iterable(group), self.memory, self._learn)
+        for words in group:
+            yield b"".join(map(known.__getitem__, words))
+
+    def _learn(self, words: list[str]) -> Iterator[bytes]:
         for start in range(0, len(words), _BATCH):
-            part = words[start : start + _BATCH]
-            self._memory.update(zip(part, self._ids_of(part)))
+            yield from self._ids_of(words[start : start + _BATCH])
 
     def _ids_of(self, words: list[str]) -> list[bytes]:
         raise NotImplementedError
 
     def _library_ids(self, words: list[str]) -> list[bytes]:
-        encoded = self.known.tokenizer.encode_batch(words, add_special_tokens=False)
+        encoded = self.known.tokenizer.encode_batch_fast(words, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
 
 
+def _ids(tokenizer, text: str) -> np.ndarray:
+    """The ids of a text; the library's batch form keeps no places, which nothing here reads."""
+    (encoded,) = tokenizer.encode_batch_fast([text], add_special_tokens=False)
+    return np.array(encoded.ids, dtype="<u4")
+
+
 def _cut(ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
     raw, out, start = ids.astype("<u4").tobytes(), [], 0
     for end in (ends * 4).tolist():
@@ -161,25 +181,27 @@ class LibraryEncoder(_Remembering):
         super().__init__(known)
         self._ends = np.array([n.endswith(known.suffix.encode()) for n in known.names])
         self._bare = known.bare_tokenizer()
-        self._pieces: dict[str, bytes] = {"": b""}
+        self._pieces = Memory()
 
     def _ids_of(self, words: list[str]) -> list[bytes]:
         plain = {w: m.groups() for w in words if (m := _CORE.fullmatch(w.lower()))}
-        known = self._pieces
-        if len(known) > self.memory:
-            known.clear()
-            known[""] = b""
-        pieces = list(dict.fromkeys(p for parts in plain.values() for p in parts if p not in known))
-        ids = np.array(self._bare.encode(" ".join(pieces), add_special_tokens=False).ids, dtype="<u4")
-        ends = np.flatnonzero(self._ends[ids]) + 1 if len(ids) else np.empty(0, int)
-        if len(ends) != len(pieces):
-            raise RuntimeError("a plain word was not one word to the tokenizer")
-        known.update(zip(pieces, _cut(ids, ends)))
+        known = self._pieces.provide(chain.from_iterable(plain.values()), self.memory, self._plain_ids)
         others = [w for w in words if w not in plain]
         rest = dict(zip(others, self._library_ids(others)))
         return [known[plain[w][0]] + known[plain[w][1]] if w in plain else rest[w] for w in words]
 
 
+    def _plain_ids(self, pieces: list[str]) -> list[bytes]:
+        """The ids of words in normal form; the empty one has none."""
+        words = [p for p in pieces if p]
+        ids = _ids(self._bare, " ".join(words))
+        ends = np.flatnonzero(self._ends[ids]) + 1 if len(ids) else np.empty(0, int)
+        if len(ends) != len(words):
+            raise RuntimeError("a plain word was not one word to the tokenizer")
+        found = dict(zip(words, _cut(ids, ends)))
+        return [found.get(p, b"") for p in pieces]
+
+
 class BoundaryEncoder(_Remembering):
     """Words cut at forced boundaries, fragments encoded independently and concatenated.
 
@@ -255,7 +277,7 @@ class BoundaryEncoder(_Remembering):
             part = [f for f in fragments[start : start + _BATCH] if f != "Ā"]
             if not part:
                 continue
-            ids = np.array(tokenizer.encode(" Ā ".join(part), add_special_tokens=False).ids, dtype="<u4")
+            ids = _ids(tokenizer, " Ā ".join(part))
             marks = np.flatnonzero(ids == self._mark[final][0])
             edges = np.concatenate([[-1], marks, [len(ids)]])
             if len(marks) != len(part) - 1:

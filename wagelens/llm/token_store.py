@@ -117,7 +117,9 @@ def write_store(docs: DataFrame, folder: str, path: str, shard_rows: int = 8_192
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     shards = max(1, -(-rows.count() // shard_rows))
-    ordered = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
+    # Rows of one id, or of none, are dealt out by how their texts begin, in the order of whole texts.
+    begins = F.substring("text", 1, 64).asc_nulls_first()
+    ordered = rows.repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), begins).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first()
     )
     ordered.mapInArrow(partial(_chunk_rows, path=path), _CHUNK_SQL).write.option("compression", "none").parquet(
@@ -155,9 +157,10 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     found = chunks.mapInArrow(
         _pieces_of, "shard int, begin bigint, doc_id bigint, n_tokens bigint, skipped bigint, ids binary, crc bigint"
     )
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("skipped", "ids"))), lambda p: p["ids"])
+    # Joined as text, in one step: adding up binaries would copy a long document's start each time.
+    parts = F.transform(F.sort_array(F.collect_list(F.struct("skipped", "ids"))), lambda p: F.hex(p["ids"]))
     cut = found.where(F.col("crc").isNull()).groupBy("shard", "begin", "doc_id", "n_tokens").agg(
-        F.crc32(F.aggregate(parts, F.lit(b""), lambda a, b: F.concat(a, b))).alias("crc")
+        F.crc32(F.unhex(F.array_join(parts, ""))).alias("crc")
     )
     whole = found.where(F.col("crc").isNotNull()).select("shard", "begin", "doc_id", "n_tokens", "crc")
     before = W.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
