@@ -1,5 +1,6 @@
 """Operators across documents against brute force, and the pipeline."""
 
+import hashlib
 import random
 from collections import defaultdict
 
@@ -280,3 +281,49 @@ def test_windows_at_every_start(spark):
     got = {(r.doc_id, r.item_id): r.n_windows for r in decontaminate.leaks(docs, benchmark).collect()}
     assert got == brute_windows(rows, items)
     assert {d for d, _ in got} == {1, 2, 3, 4, 5}
+
+
+def test_repeated_rows_and_rows_without_an_id_stay_once(spark):
+    rnd = random.Random(23)
+    text, other = " ".join(words(rnd, 40)), " ".join(words(rnd, 40))
+    rows = [(1, text), (1, text), (2, text), (3, other), (None, other), (None, other), (None, None), (4, ""), (4, ""), (5, "")]
+    left = near_dedup.without_near_duplicates(frame(spark, rows)).collect()
+    wanted = [(1, text), (3, other), (None, other), (None, None), (4, ""), (5, "")]
+    assert sorted(((r.doc_id, r.text) for r in left), key=repr) == sorted(wanted, key=repr)
+    assert near_dedup.without_near_duplicates(frame(spark, rows).limit(0)).count() == 0
+
+
+def test_deduplicated_lines_counts_what_is_left(spark):
+    rnd = random.Random(29)
+    passage = words(rnd, 55)
+    first = "\n".join([" ".join(passage[:30]), " ".join(passage[30:]), "end"])
+    second = "new\n" + first
+    rows = [(1, first), (2, second), (3, first), (None, None), (4, ""), (1, first)]
+    got = {(r.doc_id, r.n_lines, r.n_removed, r.text_md5) for r in line_dedup.deduplicated_lines(frame(spark, rows)).collect()}
+
+    def md5(t):
+        return hashlib.md5(t.encode()).hexdigest()
+
+    assert got == {
+        (1, 3, 0, md5(first)), (2, 4, 3, md5("new")), (3, 3, 3, md5("")), (None, 1, 0, md5("")), (4, 1, 0, md5("")),
+    }
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_units_settle_what_windows_would(spark, seed):
+    """Long repeated stretches, copies with edits and copies of copies, at the usual width."""
+    rnd = random.Random(seed)
+    base = [words(rnd, 400, 10**9) for _ in range(3)]
+    rows = []
+    for i in range(40):
+        own = list(rnd.choice(base))
+        for _ in range(rnd.randrange(0, 4)):
+            at = rnd.randrange(len(own))
+            own[at : at + rnd.randrange(0, 30)] = words(rnd, rnd.randrange(0, 30), 10**9)
+        if rnd.random() < 0.3:
+            own = own[rnd.randrange(60) :] + rnd.choice(base)[: rnd.randrange(40, 200)]
+        rows.append((rnd.randrange(30) if rnd.random() < 0.2 else 100 - i, "\n".join(" ".join(own[j : j + 9]) for j in range(0, len(own), 9))))
+    rows = list(dict(rows).items())
+    docs = frame(spark, rows)
+    got = {r.doc_id: r.text.split() for r in line_dedup.without_repeated_lines(docs).collect()}
+    assert got == brute_passages(rows, 50)

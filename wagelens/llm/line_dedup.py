@@ -2,11 +2,17 @@
 
 A passage is a stretch of at least ``passage_words`` words; it may start and end inside a line.
 Its windows of exactly that many words each pick, as fingerprint, the smallest hash of the
-seeds (half as many words) inside them. Equal windows share their fingerprint, so only the
-windows around fingerprints that occur twice are candidates; these are grouped by 128 bits of
-their words. Overlapping repeated windows make up a passage as far as it goes to both sides.
-What results is exact up to those hashes: a word goes if and only if it lies in a passage that
-stands, complete, in an earlier place.
+seeds (half as many words) inside them; equal windows pick the same.
+
+Neighbouring windows that pick the same place are a unit: all the words that they cover. The
+places are chosen by content, so a passage that stands elsewhere is cut into the same units
+there, but for its ends. Units are joined to the first place of an equal one and are settled
+as a whole where it is earlier, one row for about a fifth of a window's words. Of the others,
+first places and the ends of passages, those that share their fingerprint are taken apart, and
+their windows compared one by one, by 128 bits of their words. Overlapping repeated windows
+make up a passage as far as it goes to both sides. What results is exact up to those hashes: a
+word goes if and only if it lies in a passage that stands, complete, in an earlier place. (A
+window's first place is never in a settled unit: the unit that settled it stands earlier.)
 
 With ``run_words`` below ``passage_words``, runs of whole lines of at least ``run_words`` words
 go as well. The smallest runs that reach this size, forwards from a line or backwards from it,
@@ -17,7 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -35,8 +41,9 @@ _BATCH_ROWS = 1 << 15
 # Odd, so that they have inverses modulo 2^64.
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _WORD = re.compile(r"\S+")
-_SEEDS = "key binary, fingerprint bigint, places bigint"
-_PASSAGES = "key binary, doc_id bigint, start int, run bigint, run2 bigint"
+_UNIT = "start: int, n: int, seed: bigint, run: bigint, run2: bigint"
+_UNITS = f"key binary, doc_id bigint, tag bigint, units array<struct<{_UNIT}>>"
+_SINGLE = "doc_id bigint, tag bigint, start int, n int, run bigint, run2 bigint"
 _WINDOWS = "key binary, doc_id bigint, first int, last int, spot int, fingerprint bigint, run binary"
 
 
@@ -52,12 +59,6 @@ def _lines(text: str) -> tuple[list[int], list[int], list[bytes]]:
     return numbers, words, hashes
 
 
-def windows(text: str, run_words: int) -> Iterator[tuple[int, int, int]]:
-    """(first, last, fingerprint's place) of a text's windows, in places of lines with words."""
-    _, words, hashes = _lines(text)
-    yield from _windows(words, hashes, run_words)
-
-
 def _windows(words: list[int], hashes: list[bytes], run_words: int) -> Iterator[tuple[int, int, int]]:
     spans = set()
     last, total = 0, 0
@@ -123,17 +124,54 @@ def repeated_runs(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     )
 
 
-def _word_hashes(words: list[str]) -> np.ndarray:
-    """128 bits a word, in two columns."""
-    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), dtype="<u8").reshape(-1, 2)
+def _mixed(values: np.ndarray) -> np.ndarray:
+    """Every bit of the result depends on every bit of the value."""
+    values = (values ^ (values >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    values = (values ^ (values >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return values ^ (values >> np.uint64(31))
+
+
+@lru_cache(maxsize=8)
+def _powers(factor: int, size: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.full(size - 1, factor, dtype=np.uint64).cumprod()])
+
+
+def _powers_of(factor: int, count: int) -> np.ndarray:
+    """The first powers of a number modulo 2^64, kept in sizes that double."""
+    return _powers(factor % (1 << 64), max(4096, 1 << (count - 1).bit_length()))[:count]
+
+
+def _word_hashes(text: str) -> np.ndarray:
+    """128 bits a word, in two columns: polynomials of its bytes, mixed with its length.
+
+    All words of a text at once, from running sums over its bytes.
+    """
+    raw = np.frombuffer(" ".join(text.split()).encode("utf-8", "replace"), np.uint8)
+    if not len(raw):
+        return np.empty((0, 2), np.uint64)
+    ends = np.append(np.flatnonzero(raw == 32), len(raw))
+    starts = np.append(0, ends[:-1] + 1)
+    values = raw.astype(np.uint64) + np.uint64(1)
+    columns = []
+    for factor in _FACTORS:
+        sums = np.concatenate([np.zeros(1, np.uint64), (values * _powers_of(factor, len(raw))).cumsum()])
+        back = _powers_of(pow(factor, -1, 1 << 64), len(raw))[starts]
+        columns.append(_mixed((sums[ends] - sums[starts]) * back + (ends - starts).astype(np.uint64)))
+    return np.stack(columns, axis=1)
+
+
+def _stretches(hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray, factor: int) -> np.ndarray:
+    """Hashes of stretches of words: polynomials in ``factor`` modulo 2^64, mixed with their lengths."""
+    powers = _powers_of(factor, len(hashes))
+    sums = np.concatenate([np.zeros(1, np.uint64), (hashes * powers).cumsum()])
+    back = _powers_of(pow(factor, -1, 1 << 64), len(hashes))[starts]
+    return _mixed((sums[ends] - sums[starts]) * back + (ends - starts).astype(np.uint64)).view(np.int64)
 
 
 def _rolling(hashes: np.ndarray, width: int, factor: int) -> np.ndarray:
     """Hashes of all stretches of ``width`` words: polynomials in ``factor`` modulo 2^64."""
-    powers = np.full(len(hashes), factor, dtype=np.uint64).cumprod()
-    sums = np.concatenate([np.zeros(1, np.uint64), (hashes * powers).cumsum()])
-    count = len(hashes) - width + 1
-    return (sums[width:] - sums[:-width]) * np.full(count, pow(factor, -1, 1 << 64), dtype=np.uint64).cumprod()
+    sums = np.concatenate([np.zeros(1, np.uint64), (hashes * _powers_of(factor, len(hashes))).cumsum()])
+    return (sums[width:] - sums[:-width]) * _powers_of(pow(factor, -1, 1 << 64), len(hashes) - width + 1)
 
 
 def _fingerprints(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,8 +179,7 @@ def _fingerprints(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarra
     seed = (width + 1) // 2
     seeds = _rolling(hashes[:, 0], seed, _FACTORS[0])
     # Mixed, for a polynomial's order says something about its words.
-    seeds = (seeds ^ (seeds >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    seeds ^= seeds >> np.uint64(29)
+    seeds = _mixed(seeds)
     spots, reach, wanted = np.arange(len(seeds)), 1, width - seed + 1
     while reach < wanted:
         step = min(reach, wanted - reach)
@@ -168,78 +205,126 @@ def _batched(tables: Iterator[list[pa.Array]], schema: pa.Schema) -> Iterator[pa
         yield from pa.Table.from_batches(held, schema).combine_chunks().to_batches()
 
 
-def _seed_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("key", pa.binary()), ("fingerprint", pa.int64()), ("places", pa.int64())])
+def _unit_starts(spots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First window and number of windows of every unit: those that pick the same place."""
+    starts = np.flatnonzero(np.concatenate([[True], spots[1:] != spots[:-1]]))
+    return starts, np.diff(np.append(starts, len(spots)))
 
-    def tables() -> Iterator[list[pa.Array]]:
-        for batch in batches:
-            for key, text in zip(*(batch.column(i).to_pylist() for i in range(2))):
-                words = (text or "").split()
-                if len(words) >= width:
-                    seeds, spots = _fingerprints(_word_hashes(words), width)
-                    values, places = np.unique(seeds[np.unique(spots)], return_counts=True)
-                    yield [pa.repeat(pa.scalar(key, pa.binary()), len(values)), pa.array(values), pa.array(places, pa.int64())]
 
-    return _batched(tables(), schema)
+def _runs(hashes: np.ndarray, starts: np.ndarray, sizes: np.ndarray, width: int) -> list[np.ndarray]:
+    """128 bits, in two columns, of the words that stretches of so many windows cover."""
+    return [_stretches(hashes[:, i], starts, starts + sizes + width - 1, _FACTORS[i]) for i in range(2)]
 
 
-def _passage_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _unit_rows(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """A row per text of at least ``width`` words, with its units."""
+    fields = [pa.field(*f) for f in (
+        ("start", pa.int32()), ("n", pa.int32()), ("seed", pa.int64()), ("run", pa.int64()), ("run2", pa.int64())
+    )]
+    for batch in batches:
+        keys, ids, tags, columns, ends = [], [], [], [[] for _ in fields], [0]
+        for key, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            hashes = _word_hashes(text or "")
+            if len(hashes) < width:
+                continue
+            seeds, spots = _fingerprints(hashes, width)
+            starts, sizes = _unit_starts(spots)
+            for column, values in zip(columns, (starts, sizes, seeds[spots[starts]], *_runs(hashes, starts, sizes, width))):
+                column.append(values)
+            keys.append(key)
+            ids.append(doc_id)
+            tags.append(int.from_bytes(key[:8], "big") >> 1)
+            ends.append(ends[-1] + len(starts))
+        if keys:
+            units = pa.StructArray.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(columns, fields)], fields=fields)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), units)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.binary()), pa.array(ids, pa.int64()), pa.array(tags, pa.int64()), lists],
+                names=["key", "doc_id", "tag", "units"],
+            )
+
+
+def _window_stretches(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The windows of the units that are given with a text by their starts."""
     schema = pa.schema([
-        ("key", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int32()), ("run", pa.int64()), ("run2", pa.int64())
+        ("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("n", pa.int32()),
+        ("run", pa.int64()), ("run2", pa.int64()),
     ])
 
     def tables() -> Iterator[list[pa.Array]]:
         for batch in batches:
             for row in range(batch.num_rows):
-                key, doc_id, text = (batch.column(i)[row] for i in range(3))
-                shared = batch.column(3)[row].values.to_numpy(zero_copy_only=False)
-                hashes = _word_hashes(text.as_py().split())
-                seeds, spots = _fingerprints(hashes, width)
-                starts = np.flatnonzero(np.isin(seeds, shared)[spots])
-                runs = (_rolling(hashes[:, i], width, _FACTORS[i])[starts].view(np.int64) for i in range(2))
+                doc_id, tag = batch.column(0)[row], batch.column(1)[row]
+                given = batch.column(3)[row].values.to_numpy(zero_copy_only=False)
+                hashes = _word_hashes(batch.column(2)[row].as_py())
+                starts, sizes = _unit_starts(_fingerprints(hashes, width)[1])
+                chosen = np.isin(starts, given)
+                starts, sizes = starts[chosen], sizes[chosen]
+                starts = np.repeat(starts, sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                ones = np.ones(len(starts), np.int32)
                 yield [
-                    pa.repeat(key, len(starts)), pa.repeat(doc_id, len(starts)), pa.array(starts, pa.int32()),
-                    *map(pa.array, runs),
+                    pa.repeat(doc_id, len(starts)), pa.repeat(tag, len(starts)), pa.array(starts, pa.int32()),
+                    pa.array(ones), *map(pa.array, _runs(hashes, starts, ones, width)),
                 ]
 
     return _batched(tables(), schema)
 
 
+def _with_origin(stretches: DataFrame, width: int) -> DataFrame:
+    """``stretches`` without their hashes, and whether an earlier place holds the same words already.
+
+    A stretch that overlaps its own first place in the same text is not settled by it.
+    """
+    place = F.struct("doc_id", "tag", "start")
+    origin = stretches.groupBy("run", "run2").agg(F.min(place).alias("origin"), F.count(F.lit(1)).alias("times"))
+    # Written, so that the join's sides are plain shuffles: adaptive execution splits the rows of a
+    # passage that very many texts hold only then.
+    origin = staged(origin.where("times > 1").drop("times"), "first_places")
+    found = stretches.join(origin, ["run", "run2"], "left")
+    same = (F.col("tag") == F.col("origin.tag")) & F.col("doc_id").eqNullSafe(F.col("origin.doc_id"))
+    apart = F.col("origin").isNotNull() & (~same | (F.col("start") >= F.col("origin.start") + width))
+    return found.withColumn("repeated", apart).drop("run", "run2", "origin")
+
+
 def repeated_passages(docs: DataFrame, passage_words: int = RUN_WORDS) -> DataFrame:
-    """``key, start``: windows of ``passage_words`` words, by the first word's number in the
-    text, that an earlier place holds already.
+    """``key, start, n``: so many neighbouring windows of ``passage_words`` words, by the number of
+    the first one's first word, each of which an earlier place holds already.
 
-    Places are ordered and repeated rows count as in ``repeated_runs``.
+    Places are ordered and repeated rows count as in ``repeated_runs``. Rows carry the doc_id and
+    a tag, 63 bits of the key that tell texts of one id, or of none, apart and sort as the key.
     """
+    width = passage_words
     key = row_key(F.col("doc_id"), F.col("text")).alias("key")
-    rows = docs.select(key, "text")
-    seeds = staged(rows.mapInArrow(partial(_seed_rows, width=passage_words), _SEEDS), "passage_seeds")
-    shared = seeds.groupBy("fingerprint").agg(F.sum("places").alias("n")).where("n > 1").select("fingerprint")
-    mine = seeds.join(shared, "fingerprint").groupBy("key").agg(F.collect_set("fingerprint").alias("shared"))
-    texts = docs.select(key, F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(mine, "key")
-    candidates = staged(texts.select("key", "doc_id", "text", "shared").mapInArrow(
-        partial(_passage_rows, width=passage_words), _PASSAGES
-    ), "passages")
-    place = F.struct("doc_id", "key", "start")
-    origin = candidates.groupBy("run", "run2").agg(F.min(place).alias("origin"), F.max(place).alias("other"))
-    same_row = F.col("key") == F.col("origin.key")
-    return (
-        candidates.join(origin.where("origin != other").drop("other"), ["run", "run2"])
-        .where(~same_row | (F.col("start") >= F.col("origin.start") + passage_words))
-        .select("key", "start")
+    rows = docs.select(key, F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    texts = staged(rows.mapInArrow(partial(_unit_rows, width=width), _UNITS), "passage_units")
+    units = texts.select("doc_id", "tag", F.explode("units").alias("unit")).select("doc_id", "tag", "unit.*")
+    units = staged(_with_origin(units, width), "settled_units")
+    left = units.where("not repeated")
+    # A fingerprint that no other unit left has cannot be that of an equal window.
+    shared = left.groupBy("seed").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("seed")
+    given = left.join(shared, "seed").groupBy("doc_id", "tag").agg(F.collect_set("start").alias("given"))
+    names = texts.select("key", F.col("doc_id").alias("id"), F.col("tag").alias("mark"))
+    ours = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("tag") == F.col("mark"))
+    asked = given.join(names, ours).select("key", "doc_id", "tag", "given").dropDuplicates(["key"])
+    single = rows.select("key", "text").join(asked, "key").select("doc_id", "tag", "text", "given").mapInArrow(
+        partial(_window_stretches, width=width), _SINGLE
     )
+    single = _with_origin(staged(single, "passage_windows"), width)
+    found = units.drop("seed").union(single).where("repeated").select("doc_id", "tag", "start", "n")
+    return found.join(names, ours).select("key", "start", "n")
 
 
 def _left(text: str, runs: list, starts: list, width: int) -> str:
-    """``text`` without the lines of ``runs`` and the windows of ``width`` words at ``starts``."""
+    """``text`` without the lines of ``runs`` and, for each (start, n) of ``starts``, the n windows of
+    ``width`` words from there on."""
     lines = text.split("\n")
     counts = [len(line.split()) for line in lines]
     ends = np.cumsum([0, *counts])
     gone = np.zeros(ends[-1], dtype=bool)
     for first, last in runs:
         gone[ends[first] : ends[last + 1]] = True
-    for start in starts:
-        gone[start : start + width] = True
+    for start, n in starts:
+        gone[start : start + n - 1 + width] = True
     kept, before = [], False
     for line, count, end in zip(lines, counts, ends[1:].tolist()):
         flags = gone[end - count : end]
@@ -284,11 +369,12 @@ def without_repeated_lines(docs: DataFrame, run_words: int = RUN_WORDS, passage_
     key = free_name(docs.columns, "row_key")
     runs, starts = free_name(docs.columns, "repeated_runs"), free_name(docs.columns, "repeated_starts")
     span = F.array("first", "last")
-    found = repeated_passages(docs, passage_words).select("key", F.lit(None).cast("array<int>").alias("span"), "start")
+    none = F.lit(None).cast("array<int>")
+    found = repeated_passages(docs, passage_words).select("key", none.alias("span"), F.array("start", "n").alias("windows"))
     if run_words < passage_words:  # else passages hold them all
-        found = found.union(repeated_runs(docs, run_words).select("key", span, F.lit(None).cast("int")))
+        found = found.union(repeated_runs(docs, run_words).select("key", span, none))
     cuts = found.groupBy(F.col("key").alias(key)).agg(
-        F.collect_set("span").alias(runs), F.collect_set("start").alias(starts)
+        F.collect_set("span").alias(runs), F.collect_set("windows").alias(starts)
     )
     keyed = docs.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
     joined = keyed.join(cuts, key, "left")
@@ -310,15 +396,17 @@ def unrepeated_documents(docs: DataFrame, run_words: int = RUN_WORDS, passage_wo
 
 
 def deduplicated_lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_lines, n_removed, text_md5`` for every document."""
-    before, lines = free_name(docs.columns, "before"), F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
-    rows = docs.select("doc_id", "text").withColumn(before, lines)
-    left = F.when(F.col("text") == "", 0).otherwise(lines)
-    cut = without_repeated_lines(rows)
-    n_before = F.col(before).cast("bigint")
-    return cut.select(
+    """``doc_id, n_lines, n_removed, text_md5`` for every document.
+
+    A null or empty text is one empty line, of which nothing is removed; its checksum is that
+    of an empty text, as is that of a text whose every word is repeated.
+    """
+    lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n"))
+    rows = docs.select("doc_id", "text", lines.cast("bigint").alias("n_lines"), (F.length("text") > 0).alias("had_text"))
+    left = F.when((F.col("text") == "") & F.col("had_text"), 0).otherwise(lines)
+    return without_repeated_lines(rows).select(
         "doc_id",
-        n_before.alias("n_lines"),
-        F.greatest(n_before - left, F.lit(0)).cast("bigint").alias("n_removed"),
+        "n_lines",
+        F.greatest(F.col("n_lines") - left, F.lit(0)).cast("bigint").alias("n_removed"),
         F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"),
     )
