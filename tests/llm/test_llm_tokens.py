@@ -207,3 +207,24 @@ def test_pair_counts_name_the_best(spark):
     for r in rows:
         most[r.b] = max(most[r.b], r.n)
     assert all(r.best == (r.n == most[r.b]) for r in rows)
+
+
+@pytest.mark.parametrize("task, kind", [("digest", "BoundaryEncoder"), ("chunks", "LibraryEncoder")])
+def test_a_worker_remembers_no_words_after_a_task(task, kind, monkeypatch):
+    import pyarrow as pa
+    from pyspark import TaskContext
+
+    from wagelens.llm import bpe, token_store, tokenize
+
+    path = vocabulary_path(VOCABULARY)
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2], pa.int64()), pa.array(["the cat sat", "on the Mat."])], ["doc_id", "text"])
+    if task == "digest":
+        rows = list(tokenize._digest(iter([batch]), path))
+    else:
+        monkeypatch.setattr(TaskContext, "get", staticmethod(lambda: type("T", (), {"partitionId": lambda self: 0})()))
+        rows = list(token_store._chunk_rows(iter([batch]), path))
+    assert rows
+    encoder = bpe.encoder(getattr(bpe, kind), path)
+    assert encoder._memory.recent == {} and encoder._memory._older == {}
+    assert all(not held for held in getattr(encoder, "_fragments", {}).values())
+    assert getattr(encoder, "_pieces", bpe.Memory()).recent == {}

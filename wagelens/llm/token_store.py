@@ -79,7 +79,6 @@ def from_planes(layout: str, planes: list[bytes], n: int) -> np.ndarray:
 def _chunk_rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     """The chunks of one shard; its documents come in order. Holds one block of ids at most
     besides a batch of documents."""
-    encoder = bpe.encoder(bpe.LibraryEncoder, path)
     end = np.array([END], dtype="<u4").tobytes()
     shard, chunk = TaskContext.get().partitionId(), 0
     held, size, pieces = [], 0, []
@@ -90,23 +89,24 @@ def _chunk_rows(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.Rec
         values = (shard, chunk, len(ids), layout, planes, pieces)
         return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, _CHUNK)], schema=_CHUNK)
 
-    for batch in batches:
-        names = batch.column(0).to_pylist()
-        for doc_id, ids in zip(names, encoder.encode(batch.column(1).to_pylist())):
-            ids = memoryview(ids + end)
-            n, done = len(ids) // 4, 0
-            while done < n:
-                take = min(n - done, BLOCK - size)
-                pieces.append({
-                    "doc_id": doc_id, "n_tokens": n, "skipped": done, "start": size, "n": take,
-                })
-                held.append(ids[4 * done : 4 * (done + take)])
-                done, size = done + take, size + take
-                if size == BLOCK:
-                    yield block()
-                    held, size, pieces, chunk = [], 0, [], chunk + 1
-    if size:
-        yield block()
+    with bpe.task_encoder(bpe.LibraryEncoder, path) as encoder:
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            for doc_id, ids in zip(names, encoder.encode(batch.column(1).to_pylist())):
+                ids = memoryview(ids + end)
+                n, done = len(ids) // 4, 0
+                while done < n:
+                    take = min(n - done, BLOCK - size)
+                    pieces.append({
+                        "doc_id": doc_id, "n_tokens": n, "skipped": done, "start": size, "n": take,
+                    })
+                    held.append(ids[4 * done : 4 * (done + take)])
+                    done, size = done + take, size + take
+                    if size == BLOCK:
+                        yield block()
+                        held, size, pieces, chunk = [], 0, [], chunk + 1
+        if size:
+            yield block()
 
 
 def write_store(docs: DataFrame, folder: str, path: str, shard_rows: int = 8_192) -> None:

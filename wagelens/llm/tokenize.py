@@ -14,30 +14,30 @@ from wagelens.llm import bpe
 
 
 def _digest(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    encoder = bpe.encoder(bpe.BoundaryEncoder, path)
-    for batch in batches:
-        ids = list(encoder.encode(batch.column(1).to_pylist()))
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array([len(i) // 4 for i in ids], pa.int64()),
-                pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()),
-                pa.array([hashlib.sha256(bpe.decode(encoder.known, i)).hexdigest() for i in ids], pa.string()),
-            ],
-            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-        )
+    with bpe.task_encoder(bpe.BoundaryEncoder, path) as encoder:
+        for batch in batches:
+            ids = list(encoder.encode(batch.column(1).to_pylist()))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column(0),
+                    pa.array([len(i) // 4 for i in ids], pa.int64()),
+                    pa.array([hashlib.sha256(i).hexdigest() for i in ids], pa.string()),
+                    pa.array([hashlib.sha256(bpe.decode(encoder.known, i)).hexdigest() for i in ids], pa.string()),
+                ],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
 
 
 def _round_trip(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    encoder = bpe.encoder(bpe.BoundaryEncoder, path)
-    for batch in batches:
-        ids = list(encoder.encode(batch.column(1).to_pylist()))
-        lists = [memoryview(i).cast("I").tolist() for i in ids]
-        decoded = [bpe.decode(encoder.known, i).decode("utf-8") for i in ids]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(lists, pa.list_(pa.int64())), pa.array(decoded, pa.string())],
-            names=["doc_id", "ids", "decoded"],
-        )
+    with bpe.task_encoder(bpe.BoundaryEncoder, path) as encoder:
+        for batch in batches:
+            ids = list(encoder.encode(batch.column(1).to_pylist()))
+            lists = [memoryview(i).cast("I").tolist() for i in ids]
+            decoded = [bpe.decode(encoder.known, i).decode("utf-8") for i in ids]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(lists, pa.list_(pa.int64())), pa.array(decoded, pa.string())],
+                names=["doc_id", "ids", "decoded"],
+            )
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
