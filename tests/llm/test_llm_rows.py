@@ -252,6 +252,86 @@ def test_shard_prunes_but_loses_nothing():
     assert ids.tolist() == all_ids.tolist() and scores.tolist() == pytest.approx(all_scores.tolist())
 
 
+def one_shard(texts):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+    return next(search._shard_rows([batch])).to_pylist()[0]
+
+
+def block_of(texts, weight):
+    import pyarrow as pa
+
+    terms = [search.term_counts(t)[0] for t in texts]
+    together = np.concatenate(terms)
+    weights = np.array([weight[t] for t in together.tolist()])
+    return search.Queries(pa.array(range(len(texts))), np.array([len(t) for t in terms]), together, weights)
+
+
+def test_search_scores_few_documents_where_a_score_is_known(monkeypatch):
+    rnd = np.random.default_rng(3)
+    texts = [" ".join(f"t{j}" for j in rnd.zipf(1.3, rnd.integers(5, 90)) if j < 5000) for _ in range(2500)]
+    row, k = one_shard(texts), 5
+    average = row["words"] / row["n"]
+    weight = {t: 1 + (t % 97) / 10 for t in np.frombuffer(row["terms"], "<u8").tolist()}
+    queries, shard = block_of(texts[:60], weight), search.Shard(row, average)
+    asked = []
+    scores = search.Shard._scores
+    monkeypatch.setattr(search.Shard, "_scores", lambda self, terms, docs: asked.append(len(docs)) or scores(self, terms, docs))
+    shard.weigh(queries)
+    free = {i: (ids.tolist(), found.tolist()) for i, ids, found in shard.answers(0, 60, k)}
+    for i, (ids, found) in free.items():
+        queries.least[i], queries.last[i] = found[-1], ids[-1]
+    asked.clear()
+    again = {i: (ids.tolist(), found.tolist()) for i, ids, found in shard.answers(0, 60, k)}
+    assert again == free and len(free) == 60
+    assert sum(asked) <= 60 * 2 * k  # of 60 * 2,500
+    words = [Counter(t.split()) for t in texts]
+    for q in range(0, 60, 7):
+        every = []
+        for d, tf in enumerate(words):
+            norm = 1.2 * (0.25 + 0.75 * tf.total() / average)
+            s = sum(
+                weight[int(search.term_counts(w)[0][0])] * tf[w] * 2.2 / (tf[w] + norm) for w in set(words[q]) if w in tf
+            )
+            every.append((-round(s, 9), d))
+        assert [d for _, d in sorted(every)[:k]] == free[q][0]
+
+
+def test_search_of_a_word_that_stands_seventy_thousand_times():
+    shard = search.Shard(one_shard(["a " * 70_000 + "b", "a b", "c"]), 10.0)
+    terms = search.term_counts("a")[0]
+    ids, scores = shard.top(terms, np.ones(1), 3)
+    norms = [1.2 * (0.25 + 0.75 * n / 10) for n in (70_001, 2)]
+    wanted = [70_000 * 2.2 / (70_000 + norms[0]), 2.2 / (1 + norms[1])]
+    assert dict(zip(ids.tolist(), scores.tolist())) == {0: pytest.approx(wanted[0]), 1: pytest.approx(wanted[1])}
+
+
+def test_search_in_turns_and_blocks_keeps_ties_and_queries_without_an_id(spark, monkeypatch):
+    monkeypatch.setattr(search, "_LEAST_DOCUMENTS", 30)
+    monkeypatch.setattr(search, "QUERY_BLOCK", 4)
+    rnd = random.Random(8)
+    kinds = [" ".join(rnd.choices([f"w{i}" for i in range(30)], k=rnd.randint(3, 20))) for _ in range(6)]
+    texts = [rnd.choice(kinds) for _ in range(240)]
+    index = search.build_index(frame(spark, texts))
+    assert {r.turn for r in index.select("turn").collect()} == {0, 1, 2}
+    asked = [*[(i, t) for i, t in enumerate(kinds)], (None, kinds[0]), (None, kinds[1]), (99, None)]
+    rows = search.top_k(index, spark.createDataFrame(asked, "query_id bigint, text string"), k=8).collect()
+    got = defaultdict(list)
+    for r in sorted(rows, key=lambda r: r.rank):
+        got[r.query_id].append(r.doc_id)
+    words = [Counter(t.split()) for t in texts]
+    average, df = sum(w.total() for w in words) / 240, Counter(x for w in words for x in w)
+    for i, text in [*enumerate(kinds), (None, kinds[0] + " " + kinds[1])]:
+        every = []
+        for d, tf in enumerate(words):
+            norm, both = 1.2 * (0.25 + 0.75 * tf.total() / average), set(text.split()) & set(tf)
+            s = sum(math.log1p((240.5 - df[w]) / (df[w] + 0.5)) * tf[w] * 2.2 / (tf[w] + norm) for w in sorted(both))
+            every.append((-round(s, 9), d))
+        assert got[i] == [d for s, d in sorted(every)[:8] if s < 0]
+    assert 99 not in got
+
+
 def labelled(n=400, seed=9):
     rnd = random.Random(seed)
     plain = ["th" + "".join(rnd.choices("aeinorst", k=rnd.randint(1, 6))) for _ in range(400)]
